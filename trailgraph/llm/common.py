@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that their Python workers can import it."""
+    if spark.sparkContext.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        target = Path(tempfile.mkdtemp(prefix="trailgraph-code-")) / "trailgraph.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted((root / "trailgraph").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(target))
+        _shipped.add(spark.sparkContext.applicationId)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage is cut and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
@@ -33,6 +50,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgraph.llm import mixing, packing, warc
-from trailgraph.llm.common import table
+from trailgraph.llm import langid, mixing, packing, pii, ranking, rules, simhash, warc
+from trailgraph.llm.common import held_out, table
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -21,6 +21,24 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 3, 1))
+    out = ranking.classify(docs, labels)
+    return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.sanitise(docs, ["doc_id"], with_text=False)
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = simhash.similar(docs, shingle=3, parts=1, segment_count=3, distance=2)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, tokenizer_json(), window=4096, end_id=2, with_ids=False)
@@ -36,10 +54,28 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = langid.prototypes(docs.where(~held_out(F.col("doc_id"), 4, 2)))
+    out = langid.predict(docs, learned, ["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = rules.judge(docs, ["doc_id"])
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_pii": op2_pii,
+    "op3_simhash": op3_simhash,
     "op4_pack": op4_pack,
     "op5_warc": op5_warc,
     "op7_mix": op7_mix,
+    "op9_langid": op9_langid,
+    "op10_rules": op10_rules,
 }
 
 OP5_SQL = """
