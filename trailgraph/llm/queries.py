@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgraph.llm import langid, mixing, packing, pii, ranking, rules, simhash, warc
+from trailgraph.llm import langid, mixing, packing, pii, ranking, rules, simhash, substrings, vectors, warc
 from trailgraph.llm.common import held_out, table
 
 
@@ -49,11 +49,20 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove(docs, ["doc_id"], with_text=False)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sized_documents(table(spark, sf_dir, "documents"))
     return mixing.mix(sized, ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learned = langid.prototypes(docs.where(~held_out(F.col("doc_id"), 4, 2)))
@@ -73,7 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_pack": op4_pack,
     "op5_warc": op5_warc,
+    "op6_substrings": op6_substrings,
     "op7_mix": op7_mix,
+    "op8_vectors": op8_vectors,
     "op9_langid": op9_langid,
     "op10_rules": op10_rules,
 }

@@ -49,7 +49,7 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th independent hash from the first: itself for 0, else a bijective mix."""
     if k:
-        h = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        h = h + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         h = h ^ (h >> np.uint64(31))
