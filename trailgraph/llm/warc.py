@@ -23,8 +23,10 @@ END = "\r\n\r\n"
 #: Records in an archive file, so that a reader holds one file of bounded count at a time.
 RECORDS_PER_FILE = 1000
 
-CANDIDATES = "path string, begin long, next long"
-RECORDS = "path string, begin long, record_type string, page_id string, refers_to string, url string, payload_bytes long, payload_digest string"
+#: Rows of the table of repeated payloads up to which it is broadcast, at about 100 bytes each; beyond, the join is by shuffle.
+BROADCAST_ROWS = 100_000
+
+CANDIDATES = "path string, begin long, next long, record_type string, page_id string, refers_to string, url string, payload_bytes long, payload_digest string"
 
 
 def header_safe(value: Column) -> Column:
@@ -40,7 +42,9 @@ def records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha2(F.encode("html", "utf-8"), 256)).withColumn("bytes", F.octet_length("html").cast("long"))
     first = pages.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select(F.col("digest").alias("of"), "first")  # only what repeats is joined back
+    first = stored(first.where("n > 1").select(F.col("digest").alias("of"), "first"), "repeated")  # only what repeats is joined back
+    if first.count() <= BROADCAST_ROWS:
+        first = F.broadcast(first)  # so payloads need no shuffle
     both = pages.join(first, F.col("digest") == F.col("of"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     head = F.concat(
@@ -75,17 +79,25 @@ def parse(content: bytes, begin: int) -> tuple[dict[str, str], int, int] | None:
     return (headers, body, after) if content[after - len(end) : after] == end else None
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    magic = MAGIC.encode()
-    for batch in batches:
-        out = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            at = content.find(magic)
-            while at >= 0:
-                if found := parse(content, at):
-                    out.append((path, at, found[2]))
-                at = content.find(magic, at + 1)
-        yield pd.DataFrame(out, columns=["path", "begin", "next"])
+def _candidates(with_payload: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        magic, names = MAGIC.encode(), [x.split()[0] for x in CANDIDATES.split(", ")] + ["payload"] * with_payload
+        name = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x is not None else None
+        for batch in batches:
+            out = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                at = content.find(magic)
+                while at >= 0:
+                    if found := parse(content, at):
+                        headers, body, after = found
+                        payload = content[body : after - len(END)]
+                        row = (path, at, after, headers.get("warc-type"), name(headers.get("warc-record-id")), name(headers.get("warc-refers-to")))
+                        row += (headers.get("warc-target-uri"), len(payload), hashlib.sha256(payload).hexdigest())
+                        out.append((*row, payload) if with_payload else row)
+                    at = content.find(magic, at + 1)
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return run
 
 
 def reachable(candidates: DataFrame) -> DataFrame:
@@ -108,24 +120,13 @@ def reachable(candidates: DataFrame) -> DataFrame:
     return found
 
 
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    name = lambda x: x.removeprefix("<urn:page:").removesuffix(">") if x is not None else None
-    for batch in batches:
-        out = []
-        for path, content, begins in zip(batch["path"], batch["content"], batch["begins"], strict=True):
-            for begin in sorted(begins):
-                headers, body, after = parse(content, begin)
-                payload = content[body : after - len(END)]
-                out.append((path, begin, headers.get("warc-type"), name(headers.get("warc-record-id")), name(headers.get("warc-refers-to")), headers.get("warc-target-uri"), len(payload), hashlib.sha256(payload).hexdigest()))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")])
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The verified records of the archives under path, one row each; payload_bytes and payload_digest of what is stored."""
+def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """The verified records of the archives under path, a row each: path, begin, next, headers, payload_bytes, payload_digest and
+    payload (if with_payload). Each file is read once: what is emitted for a place in a payload goes when no chain reaches it.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    places = reachable(files.mapInPandas(_candidates, CANDIDATES))
-    by_file = places.groupBy("path").agg(F.collect_list("begin").alias("begins"))  # at most the records of a file
-    return files.join(by_file, "path").mapInPandas(_records, RECORDS)
+    found = stored(files.mapInPandas(_candidates(with_payload), CANDIDATES + ", payload binary" * with_payload), "candidates")
+    return found.join(reachable(found.select("path", "begin", "next")), ["path", "begin"], "left_semi")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}"
     write(pages, path)
-    back = stored(read(spark, path), "records")
+    back = stored(read(spark, path, with_payload=False), "records")
     revisits = back.where("record_type = 'revisit'").select("page_id", "refers_to")
     # A response per page that revisits name; repeated rows of a page have the same payload here.
     named = back.where("record_type = 'response'").join(revisits.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
