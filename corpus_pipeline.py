@@ -32,12 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data generalised and terms that reveal it generalised or removed."""
     ship(spark)
-    names = docs.columns
-    clean = pii.sanitise(docs.select(*names), [c for c in names if c != "text"])
-    clean = clean.withColumn("text", F.col("clean_text"))
+    names, others = docs.columns, [c for c in docs.columns if c != "text"]
+    plain = docs.select(F.col("text"), *[F.col(f"`{c}`").alias(f"column{k}") for k, c in enumerate(others)])  # so no name clashes
+    clean = pii.sanitise(plain)
+    clean = clean.select(F.col("clean_text").alias("text"), *[F.col(f"column{k}").alias(c) for k, c in enumerate(others)])
     if "n_chars" in names:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*names)
+    return clean.select(*[F.col(f"`{c}`") for c in names])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

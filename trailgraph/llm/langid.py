@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailgraph.llm.common import Carried
+
 #: Letter slots (a power of two; slot 0 is the edge of a word) and dimensions of vectors.
 SLOTS = 1024
 DIMENSIONS = 1024
@@ -107,7 +109,7 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], carry: list[str], d
     """Adds lang_pred and score (the cosine, at least 0) to the columns `carry` of docs (text and those).
 
     Null texts, texts without a letter, and all texts if nothing was learned are und with score 0. Ties go to the first
-    language by name; repeated rows are predicted each; an empty table gives no rows.
+    language by name; repeated rows are predicted each; an empty table gives no rows; a carried column of a new name gives way.
     """
     names = list(learned)
     protos = np.array([learned[k] for k in names], np.float32).reshape(len(names), dimensions)
@@ -129,6 +131,7 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], carry: list[str], d
             batch["lang_pred"], batch["score"] = lang, score
             yield batch
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double"
-    return docs.select(*carry, F.col("text").alias("__text")).mapInPandas(run, schema)
+    carried, new = Carried(docs, carry), ["lang_pred", "score"]
+    schema = ", ".join([carried.schema()] * bool(carry) + ["lang_pred string, score double"])
+    out = docs.select(*carried.columns(), F.col("text").alias("__text")).mapInPandas(run, schema)
+    return out.select(*carried.back(new), *new)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import stored
+from trailgraph.llm.common import Carried, stored
 
 #: Most labelled rows that the fit takes (chosen by a hash of the id) and preference pairs that it draws from them.
 SAMPLE_ROWS = 40_000
@@ -53,10 +53,11 @@ def featured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = np.array([features(t if isinstance(t, str) else None) for t in batch["text"]], np.float32).reshape(-1, len(FEATURES))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **dict(zip(FEATURES, rows.T, strict=True))})
+            yield pd.DataFrame({carried.keys[0]: batch[carried.keys[0]], **dict(zip(FEATURES, rows.T, strict=True))})
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{f} float" for f in FEATURES)
-    return stored(docs.select("doc_id", "text").mapInPandas(run, schema), "features")
+    carried = Carried(docs, ["doc_id"])
+    schema = carried.schema() + ", " + ", ".join(f"{f} float" for f in FEATURES)
+    return stored(docs.select(*carried.columns(), "text").mapInPandas(run, schema).select(*carried.back(), *FEATURES), "features")
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = SEED, ridge: float = 1e-3) -> tuple[np.ndarray, float]:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import stored
+from trailgraph.llm.common import Carried, stored
 from trailgraph.llm.components import connected, forest
 
 SEED = 42
@@ -78,10 +78,11 @@ def fingerprinted(docs: DataFrame, shingle: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.array([fingerprint(t if isinstance(t, str) else None, shingle, parts) for t in batch["text"]], np.uint64).reshape(-1, parts)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **dict(zip(names, found.view(np.int64).T, strict=True))})
+            yield pd.DataFrame({carried.keys[0]: batch[carried.keys[0]], **dict(zip(names, found.view(np.int64).T, strict=True))})
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in names)
-    return stored(docs.select("doc_id", "text").mapInPandas(run, schema), "fingerprints")
+    carried = Carried(docs, ["doc_id"])
+    schema = carried.schema() + ", " + ", ".join(f"{c} long" for c in names)
+    return stored(docs.select(*carried.columns(), "text").mapInPandas(run, schema).select(*carried.back(), *names), "fingerprints")
 
 
 def segments(parts: int, count: int) -> list[tuple[int, int, int]]:
