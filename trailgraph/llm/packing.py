@@ -10,19 +10,29 @@ and the pieces find their places on the executors by their rank among pieces of
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgraph.llm.common import stored
 
-#: Words whose ids a Python worker remembers; beyond it the memory starts anew. Only speed depends on it.
-REMEMBERED_WORDS = 200_000
+#: Words in each of the two generations that a Python worker remembers, also from task to task. When the young one is full, the
+#: old one goes and words that are met again move on. Only speed depends on it.
+REMEMBERED_WORDS = 400_000
+
+#: Texts whose words are looked up together.
+TEXTS_AT_ONCE = 4096
 
 #: Pieces of one length that a single sort may rank; more are dealt over several.
 RANKED_TOGETHER = 100_000
@@ -95,50 +105,130 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-def _pieces(tokenizer_json: str, end_id: int, window: int, with_ids: bool):
-    """The function that turns batches (doc_id, text) into pieces."""
+class WordCodes:
+    """Ids of words as little-endian bytes, by a tokenizer that lowers case, drops white space and ends its tokens there.
+
+    A word in lower case without its last full stop or comma is encoded once; those of letters only are encoded together,
+    since each ends with the only id of a word's end.
+    """
+
+    def __init__(self, tokenizer_json: str, remembered: int = REMEMBERED_WORDS):
+        from tokenizers import Tokenizer
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        self.tokenizer, self.remembered = Tokenizer.from_str(tokenizer_json), remembered
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        at_blanks = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}
+        #: The same merges for words that need neither normalising nor splitting.
+        self.plain = Tokenizer.from_str(json.dumps(json.loads(tokenizer_json) | {"normalizer": None, "pre_tokenizer": at_blanks}))
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
+        #: Ids of nothing, a full stop and a comma, one after the other.
+        self.tails = [np.frombuffer(x, "<u4") for x in self.encode(["", ".", ","])]
+        for probe in ("a b\nc", "Ab.", "x, y", "Été Straße", " ", "\n"):
+            if encoded(pa.array([probe]), self)[0].tobytes() != self.encode([probe])[0]:
+                raise ValueError("the tokenizer must lower case, drop white space and end its tokens there")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, met: set[str]) -> None:
+        """Remembers words that the young generation lacks."""
+        again = met & self.old.keys()
+        self.words.update((w, self.old[w]) for w in again)
+        met = met - again
+        plain = [x for x in met if x.isalpha() and (x.isascii() or x == x.lower() and unicodedata.is_normalized("NFC", x))]
+        for at in range(0, len(plain), 256):
+            some = plain[at : at + 256]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            after = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            code = ids.tobytes()
+            found = self.encode(some) if len(after) != len(some) else [code[a:b] for a, b in zip([0, *after[:-1].tolist()], after.tolist(), strict=True)]
+            self.words.update(zip(some, found, strict=True))
+        others = list(met.difference(plain))
+        self.words.update(zip(others, self.encode(others), strict=True))
+
+    def codes(self, words: list[str]) -> list[bytes]:
+        """The codes of different words, which hold no space or line end."""
+        if len(self.words) > self.remembered:
+            self.old, self.words = self.words, {}
+        out = list(map(self.words.get, words))
+        holes = [i for i, c in enumerate(out) if c is None]
+        self.learn({words[i] for i in holes})
+        for i in holes:
+            out[i] = self.words[words[i]]
+        return out
+
+
+@cache
+def word_codes(tokenizer_json: str) -> WordCodes:
+    return WordCodes(tokenizer_json)
+
+
+def gathered(values: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From runs of values that lie one after the other: the runs `at`, one after the other, and their edges."""
+    each = length[at]
+    edges = np.concatenate([[0], np.cumsum(each)])
+    shift = (np.cumsum(length) - length)[at] - edges[:-1]
+    return values[np.repeat(shift, each) + np.arange(edges[-1])], edges
+
+
+def encoded(texts: pa.Array, known: WordCodes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in a row, and where each text's begin and end. What several words share is looked up once."""
+    lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+    words = lists.flatten().dictionary_encode()
+    raw = words.dictionary
+    low = pc.utf8_lower(raw)
+    # What may lower otherwise elsewhere, or not be normal, is left to the tokenizer: all beyond Latin, and dotted capital I.
+    odd = pc.match_substring_regex(raw, r"[^\x{0000}-\x{024F}]|\x{0130}")
+    marked = pc.and_not(pc.match_substring_regex(low, "\\p{L}[.,]$"), odd)
+    cores = pc.if_else(odd, raw, pc.if_else(marked, pc.utf8_slice_codeunits(low, 0, -1), low)).dictionary_encode()
+    codes = known.codes(cores.dictionary.to_pylist())
+    ids, length = np.frombuffer(b"".join(codes), "<u4"), np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+    # A core and its mark are two runs, each word of the texts a run of both.
+    mark = np.where(marked.to_numpy(zero_copy_only=False), np.where(pc.ends_with(low, ".").to_numpy(zero_copy_only=False), 1, 2), 0)
+    ids = np.concatenate([ids, *known.tails])
+    length = np.concatenate([length, [len(t) for t in known.tails]])
+    both = np.stack([cores.indices.to_numpy(), len(codes) + mark], axis=1).ravel()
+    ids, edges = gathered(ids, length, both)
+    ids, edges = gathered(ids, np.diff(edges[::2]), words.indices.to_numpy())
+    offsets = lists.offsets.to_numpy()
+    return ids, edges[offsets - offsets[0]]
+
+
+def _pieces(tokenizer_json: Broadcast[str], end_id: int, window: int, with_ids: bool):
+    """The function that turns Arrow batches (doc_id, text) into pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from trailgraph.llm import packing  # the worker's own module, so that its memory of words lasts
 
-        tokenizer = Tokenizer.from_str(tokenizer_json.value)
-        known: dict[str, bytes] = {}
-        end = np.array([end_id], "<u4").tobytes()
+        known = packing.word_codes(tokenizer_json.value)
+        last = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out = []
-            for at in range(0, len(batch), 64):
-                ids, texts = batch["doc_id"].iloc[at : at + 64], batch["text"].iloc[at : at + 64]
-                # White space ends a token in this vocabulary's pre-tokeniser, so words can be encoded one by one and remembered.
-                split = [t.replace("\n", " ").split(" ") if isinstance(t, str) else [] for t in texts]
-                if len(known) > REMEMBERED_WORDS:
-                    known.clear()
-                new = list(set().union(*split).difference(known))
-                for word, code in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[word] = np.array(code.ids, "<u4").tobytes()
-                for doc_id, words in zip(ids, split, strict=True):
-                    code = b"".join(map(known.__getitem__, words)) + end
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(k, TEXTS_AT_ONCE)
+                ids, edges = packing.encoded(part.column("text"), known)
+                out = []
+                for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                    code = ids[a:b].tobytes() + last
                     for start in range(0, len(code), 4 * window):
                         piece = code[start : start + 4 * window]
-                        row = (doc_id, start // 4, len(piece) // 4, zlib.crc32(piece), len(code) // 4)
-                        out.append((*row, np.frombuffer(piece, "<u4").astype("i4")) if with_ids else row)
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
+                        out.append((i, start // 4, len(piece) // 4, zlib.crc32(piece), len(code) // 4, piece))
+                if out:
+                    row, *columns, pieces = zip(*out, strict=True)
+                    arrays = [part.column("doc_id").take(pa.array(row, pa.int64()))] + [pa.array(c, pa.int64()) for c in columns]
+                    if with_ids:
+                        arrays.append(pa.array([np.frombuffer(p, "<i4") for p in pieces], pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
     return run
 
 
-def splits_at_blanks(tokenizer_json: str) -> None:
-    """Refuses a vocabulary whose tokens may hold or depend on spaces or line ends: encoding word by word would differ."""
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_str(tokenizer_json)
-    codes = [t.encode(x, add_special_tokens=False).ids for x in ("a b\nc", "a", "b", "c", " ", "\n")]
-    if codes[0] != codes[1] + codes[2] + codes[3] or codes[4] or codes[5]:
-        raise ValueError("the tokenizer must drop white space and end its tokens there")
-
-
 def pack(docs: DataFrame, tokenizer_json: str, window: int = 4096, end_id: int = 2, with_ids: bool = True) -> DataFrame:
     """Packs documents (doc_id, text) into windows of at most `window` tokens.
 
@@ -147,11 +237,11 @@ def pack(docs: DataFrame, tokenizer_json: str, window: int = 4096, end_id: int =
     own; a null doc_id is kept; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    splits_at_blanks(tokenizer_json)
+    word_codes(tokenizer_json)  # refuses vocabularies that can't be encoded word by word
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     run = _pieces(spark.sparkContext.broadcast(tokenizer_json), end_id, window, with_ids)
-    pieces = stored(docs.select("doc_id", "text").mapInPandas(run, schema), "pieces")
+    pieces = stored(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     plan = best_fit_plan(counts, window)
     plan.sort()
