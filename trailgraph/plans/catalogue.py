@@ -158,8 +158,8 @@ def exact_avg_distance_parts(spark, sf_dir):
 
 
 #: Draws as arithmetic: the vertices of the driver's graphs are 0 to n - 1.
-PAIRS = """, k AS (SELECT CAST(ceil(log2(n) / (2 * 0.1::DOUBLE * 0.1::DOUBLE)) AS BIGINT) AS k FROM n),
-x AS (SELECT i, (i * 7919 + 42) % n AS v, (i * 104729 + 43) % n AS w FROM n, k, range(16384 * CAST(1 AS BIGINT)) t(i) WHERE i < 4 * k),
+PAIRS = f""", k AS (SELECT CAST(ceil(log2(n) / (2 * 0.1::DOUBLE * 0.1::DOUBLE)) AS BIGINT) AS k FROM n),
+x AS (SELECT i, {sampling.draw_sql('i', sampling.FIRST, 42)} % n AS v, {sampling.draw_sql('i', sampling.SECOND, 43)} % n AS w FROM n, k, range(16384) t(i) WHERE i < 4 * k),
 c AS (SELECT x.* FROM x JOIN r ON x.v = r.src AND x.w = r.dst WHERE v <> w ORDER BY i LIMIT (SELECT k FROM k)),
 b AS (SELECT src, sum(d) AS s, count(*) AS c, max(d) AS m FROM r GROUP BY src)
 SELECT CAST(max(m) AS BIGINT) AS diameter, CAST(sum(b.s) AS BIGINT) AS total, CAST(sum(b.c) AS BIGINT) AS pairs, count(*) AS nonempty, round(sum(CAST(b.s AS DOUBLE) / b.c) / (SELECT k FROM k), 9) AS average
@@ -172,7 +172,7 @@ def avg_distance_pairs(spark, sf_dir):
     return out.withColumn("average", F.round("average", 9))
 
 
-BATCHED = """, x AS (SELECT i, (i * 7919 + 42) % n AS v FROM n, range(400) t(i)),
+BATCHED = f""", x AS (SELECT i, {sampling.draw_sql('i', sampling.FIRST, 42)} % n AS v FROM n, range(400) t(i)),
 b AS (SELECT src, sum(d) AS s, count(*) AS c, max(d) AS m FROM r GROUP BY src),
 s AS (SELECT CAST(i // 40 AS BIGINT) AS batch, CAST(sum(s) AS BIGINT) AS total, CAST(sum(c) AS BIGINT) AS pairs, CAST(max(m) AS BIGINT) AS diameter FROM x JOIN b ON x.v = b.src GROUP BY 1)"""
 
@@ -194,7 +194,7 @@ def batch_running_avg(spark, sf_dir):
     return out.select("batch", *[F.round(F.nanvl(c, F.lit(0.0)), 8).alias(c) for c in ("average", "spread", "diameter", "diameter_spread")])
 
 
-WEIGHTS = """, t AS (SELECT i, (i * 104729 + 42) % n AS v FROM n, range(100) t(i)),
+WEIGHTS = f""", t AS (SELECT i, {sampling.draw_sql('i', sampling.SECOND, 42)} % n AS v FROM n, range(100) t(i)),
 b AS (SELECT src AS node, dst AS v FROM r UNION ALL SELECT id, id FROM v),
 w AS (SELECT v.id AS node, count(b.v) AS weight FROM v LEFT JOIN (SELECT b.* FROM t JOIN b ON t.v = b.v) b ON v.id = b.node GROUP BY v.id),
 c AS (SELECT node, weight, CAST(sum(weight) OVER (ORDER BY node) AS BIGINT) AS cumulative FROM w)"""
@@ -206,7 +206,7 @@ def reach_weights(spark, sf_dir):
     return sampling.reach_weights(g, sampling.uniform(g, 100, 42, sampling.SECOND))
 
 
-@query(head("users") + WEIGHTS + """, m AS (SELECT max(cumulative) AS m FROM c), d AS (SELECT i AS draw_id, (i * 6151 + 42) % m + 1 AS x FROM m, range(500) t(i))
+@query(head("users") + WEIGHTS + f""", m AS (SELECT max(cumulative) AS m FROM c), d AS (SELECT i AS draw_id, {sampling.draw_sql('i', sampling.THIRD, 42)} % m + 1 AS x FROM m, range(500) t(i))
 SELECT draw_id, node AS v FROM d JOIN c ON x > cumulative - weight AND x <= cumulative""")
 def reach_weighted_draws(spark, sf_dir):
     g = load(spark, sf_dir, "users")
