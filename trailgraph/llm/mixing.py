@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import stored, word_count
+from trailgraph.llm.common import Carried, press, stored, unpress, word_count
 
 #: Hexadecimal digits of the shuffle key that make a bucket: 4096 buckets a source bound what one sort ranks.
 BUCKET_DIGITS = 3
@@ -79,15 +79,19 @@ def mix_documents(docs: DataFrame, epochs: int = 2, **kw) -> DataFrame:
     half a document of it. Documents without words come once.
     """
     names = docs.columns
-    sized = docs.select(F.struct(*names).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    plan = mix(sized, ["row"], epochs=epochs, **kw)
+    carried = Carried(docs, [c for c in names if c != "text"])
+    sized = docs.select(*carried.columns(), F.col("doc_id").cast("string").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), "text")
+    kinds = dict(docs.dtypes)
+    pressed = sized.mapInPandas(press, f"{carried.schema()}, doc_id string, source {kinds['source']}, size long, z binary")
+    plan = mix(pressed, [*carried.keys, "z"], epochs=epochs, **kw)
     copies = []
     for k in range(epochs):
         part = served(F.col("start"), F.col("size"), F.col("source_size"), F.col("target"), k)
         inside = F.when(F.col("size") == 0, F.lit(k == 0)).otherwise(part * 2 >= F.col("size"))
         copies.append(F.when(inside, F.col("finish") + F.col("source_size") * k / F.col("weight")))
     plan = plan.withColumn("finish", F.explode(F.array_compact(F.array(*copies))))
-    return plan.orderBy("finish").select("row.*")
+    out = plan.orderBy("finish").select(*carried.keys, "z").mapInPandas(unpress, carried.schema() + ", text string")
+    return out.select(*carried.back(), "text").select(*[F.col(f"`{c}`") for c in names])
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
