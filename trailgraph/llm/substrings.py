@@ -9,8 +9,8 @@ which yields the tree of common-prefix intervals; an interval holds all texts th
 the texts before the anchor are sorted backwards, which shows where the left extensions part. A text's windows are
 repeated where the shared prefix and the longest shared left extension together reach the length.
 
-Buckets beyond a bound are not gathered: texts around the anchor that are equal count as one, and the windows of the
-others are counted by their hashes of 128 bits.
+Surroundings of an anchor that are equal, by two hashes of 64 bits, repeat each other whole: they count as one and only one
+travels as bytes. Buckets that stay beyond a bound are not gathered but halved, by where in a window the anchor stands.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import stored
+from trailgraph.llm.common import Carried, press, stored
 
 LENGTH = 200
 #: Bytes of an anchor. Longer ones meet fewer buckets by chance; shorter ones make fewer anchors.
 GRAM = 64
 #: Texts that a bucket may gather.
 BUCKET = 512
+#: Rows of the table of large buckets up to which it is broadcast, 8 bytes each.
+BROADCAST_ROWS = 100_000
 #: Bytes of a text whose windows are scanned at once.
 SCAN = 1 << 20
 
@@ -145,28 +147,72 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pack(place, low, high):
-    return (place << 20) | ((place - low) << 10) | (place - high)
-
-
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), 256):
-            rows = [(k, *anchors(t.encode("utf-8", "surrogatepass"))) for k, t in zip(batch["rk"].iloc[at : at + 256], batch["text"].iloc[at : at + 256], strict=True)]
-            yield pd.DataFrame({
-                "h": np.concatenate([r[1] for r in rows]).view(np.int64),
-                "rk": np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) for r in rows]),
-                "at": np.concatenate([_pack(*r[2:]) for r in rows]),
-            })
+    """A row per anchor: h, same (a hash of the bytes around it), rk, its place and how far before it windows start, m.
 
+    What is equal within a batch is combined: one row with m = 2 stands for all, and the others come with m = 0, as repeated
+    already; they are dealt by rk, so anchors that a good part of all texts have make few rows in their bucket.
+    """
+    for batch in batches:
+        for at in range(0, len(batch), 2000):
+            rks, texts, found = [], batch["text"].iloc[at : at + 2000], []
+            same: list[int] = []
+            for rk, text in zip(batch["rk"].iloc[at : at + 2000], texts, strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                h, place, low, high = anchors(data)
+                found.append((h, place, place - low, place - high))
+                rks.append((rk, len(h)))
+                digest = xxhash.xxh3_64_intdigest
+                same += [digest(data[a:b], seed=k) for a, b, k in zip(low.tolist(), (high + LENGTH).tolist(), (place - low).tolist(), strict=True)]
+            h, place, most, least = (np.concatenate(x) for x in zip(*found, strict=True))
+            h, same_ = h.view(np.int64), np.array(same, np.uint64).view(np.int64)
+            rk = np.repeat(np.array([r for r, _ in rks], np.int64), [n for _, n in rks])
+            order = np.lexsort((same_, h))
+            again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (same_[order][1:] == same_[order][:-1])])[: len(h)]
+            m = np.where(again, 0, 1)
+            m[:-1][again[1:] & ~again[:-1]] = 2
+            yield pd.DataFrame({"key": np.where(again, rk[order], h[order]), "same": same_[order], "rk": rk[order], "place": place[order], "most": most[order].astype(np.int16), "least": least[order].astype(np.int16), "m": m.astype(np.int8)})
+
+
+def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows sorted by key and same: repeated windows of equal surroundings, and one row of each kind of surroundings in a bucket of several.
+
+    Rows come out as (h, rk, place, most, least, m), with m = 0 for repeated windows. One row is held between batches, so a
+    bucket may have any number.
+    """
+    names = ["h", "rk", "place", "most", "least", "m"]
+    held: pd.DataFrame | None = None  # the first row of the last class
+    told = after = False  # whether its windows are out already; whether a class of its bucket was before it
 
-def _compressed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import zstandard
+    def out(rows: pd.DataFrame, m) -> pd.DataFrame:
+        return rows.assign(m=np.int8(0) if m is None else m).rename(columns={"key": "h"})[names]
 
-    press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        batch["z"] = [press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.pop("text")]
-        yield batch
+        done = batch["m"] == 0
+        if done.any():
+            yield out(batch[done], None)
+            batch = batch[~done]
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        key, same, m = batch["key"].to_numpy(), batch["same"].to_numpy(), batch["m"].to_numpy().astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (same[1:] != same[:-1])]))
+        total = np.add.reduceat(m, first)
+        number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        twice = total[number] >= 2
+        if told:
+            twice[0] = False
+        yield out(batch[twice], None)
+        ahead = np.concatenate([key[first][1:] == key[first][:-1], [False]])
+        behind = np.concatenate([[after], ahead[:-1]])
+        several = (ahead | behind)[:-1]  # the last class waits for the next batch
+        chosen = batch.iloc[first[:-1][several]]
+        yield out(chosen, np.minimum(total[:-1][several], 2).astype(np.int8))
+        held = batch.iloc[first[-1:]].assign(m=np.int8(min(2, total[-1])))
+        told, after = bool(total[-1] >= 2), bool(behind[-1])
+    if held is not None and after:
+        yield out(held, held["m"].to_numpy())
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,10 +225,9 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rk, z, found in zip(batch["rk"].iloc[at : at + 64], batch["z"].iloc[at : at + 64], batch["found"].iloc[at : at + 64], strict=True):
                 text = press.decompress(z)
                 for x in found:
-                    place = x["at"] >> 20
-                    low, high = place - (x["at"] >> 10 & 1023), place - (x["at"] & 1023)
-                    out.append((x["h"], rk, place, place - low, place - high, x["large"], text[low : high + LENGTH]))
-            yield pd.DataFrame(out, columns=["h", "rk", "place", "most", "least", "large", "context"], dtype=object)
+                    place, most, least = x["place"], x["most"], x["least"]
+                    out.append((x["h"], rk, place, most, least, x["m"], x["large"], text[place - most : place - least + LENGTH]))
+            yield pd.DataFrame(out, columns=["h", "rk", "place", "most", "least", "m", "large", "context"], dtype=object)
 
 
 def _bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,14 +255,39 @@ def _bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield found(rest)
 
 
-def _window_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for h, rk, place, most, n, context in zip(*(batch[c] for c in ("h", "rk", "place", "most", "n", "context")), strict=True):
-            for k in range(len(context) - LENGTH + 1):
-                w = xxhash.xxh3_128_intdigest(context[k : k + LENGTH], seed=(most - k) ^ (h & 0xFFFFFFFF))
-                out.append(((w >> 64) - (1 << 63), (w & ((1 << 64) - 1)) - (1 << 63), rk, place - most + k, n))
-        yield pd.DataFrame(out, columns=["w", "w2", "rk", "a", "n"], dtype=object)
+def _halved(rows: DataFrame) -> Iterator[DataFrame]:
+    """Repeated windows of large buckets (h, rk, place, most, least, m, context), as rk, a, b.
+
+    The windows of a bucket are split by how far before the anchor they start. Those that start low to high bytes before it
+    all hold `low` bytes before and LENGTH - high bytes from the anchor on, so these bytes make buckets of that range: small
+    ones are compared as any bucket, large ones are split again. In each, rows that agree on all windows of the range are
+    repeated and go on as one.
+    """
+    low, high = F.col("low"), F.col("high")
+    rows = rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(LENGTH - GRAM)).withColumn("key", F.col("h"))
+    while True:
+        # All that the row's windows of the range cover.
+        least, most = F.greatest("low", "least"), F.least("high", "most")
+        covered = F.substring("context", F.col("most") - most + 1, most + LENGTH - least)
+        rows = stored(rows.withColumn("same", F.xxhash64(least, most, covered)), "halves")
+        classes = rows.groupBy("h", "key", "same").agg(F.sum("m").alias("n"), F.min(F.struct("rk", "place")).alias("one"))
+        classes = stored(classes, "classes")
+        again = rows.where("m < 2").join(classes.where("n > 1").select("h", "key", "same"), ["h", "key", "same"], "left_semi")
+        yield again.select("rk", (F.col("place") - most).alias("a"), (F.col("place") - least).alias("b"))
+        ones = rows.join(classes.select("h", "key", "same", F.col("one.rk").alias("rk"), F.col("one.place").alias("place"), "n"), ["h", "key", "same", "rk", "place"])
+        ones = ones.dropDuplicates(["h", "key", "same"]).withColumn("m", F.when(F.col("n") > 1, 2).otherwise(F.col("m")))
+        middle = F.floor((low + high) / 2).cast("int")
+        parts = F.array(F.struct(low.alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), high.alias("high")))
+        ones = ones.where("low < high").withColumn("part", F.explode(F.filter(parts, lambda p: (p["low"] <= F.col("most")) & (p["high"] >= F.col("least")))))
+        ones = ones.select("h", "rk", "place", "most", "least", "m", "context", "part.low", "part.high")
+        shared = F.substring("context", F.col("most") - low + 1, low + LENGTH - high)
+        ones = stored(ones.withColumn("key", F.xxhash64("low", "high", shared)), "halves")
+        sizes = stored(ones.groupBy("h", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+        few = ones.join(sizes.where(F.col("n") <= BUCKET).select("h", "key"), ["h", "key"], "left_semi").withColumn("h", F.xxhash64("h", "key"))
+        yield few.repartition("h").sortWithinPartitions("h").mapInPandas(_bucketed, "rk long, a long, b long")
+        if sizes.where(F.col("n") > BUCKET).isEmpty():
+            return
+        rows = ones.join(sizes.where(F.col("n") > BUCKET).select("h", "key"), ["h", "key"], "left_semi")
 
 
 def repeats(texts: DataFrame) -> DataFrame:
@@ -225,26 +295,30 @@ def repeats(texts: DataFrame) -> DataFrame:
 
     rk names a row; rows that share it must be copies, and then repeat each other.
     """
-    places = texts.mapInPandas(_anchors, "h long, rk long, at long")
-    counts = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > BUCKET).alias("large"))
-    own = places.join(counts, "h").groupBy("rk").agg(F.collect_set(F.struct("h", "at", "large")).alias("found"))  # at most a text's anchors
-    pressed = texts.mapInPandas(_compressed, "rk long, z binary")
-    contexts = pressed.join(own, "rk").mapInPandas(_contexts, "h long, rk long, place long, most int, least int, large boolean, context binary")
-    contexts = stored(contexts, "contexts")
-
-    small = contexts.where("NOT large").drop("large", "least").repartition("h").sortWithinPartitions("h")
-    out = small.mapInPandas(_bucketed, "rk long, a long, b long")
-
-    large = contexts.where("large").withColumn("same", F.xxhash64("context", "most"))
-    kinds = large.groupBy("h", "same").agg(F.count("*").alias("n"), F.min(F.struct("rk", "place")).alias("one"))
-    again = large.join(kinds.where("n > 1").select("h", "same"), ["h", "same"], "left_semi")
-    again = again.select("rk", (F.col("place") - F.col("most")).alias("a"), (F.col("place") - F.col("least")).alias("b"))
-    ones = large.join(kinds.select("h", "same", "n", "one.*"), ["h", "same", "rk", "place"])
-    ones = ones.dropDuplicates(["h", "same", "rk", "place"]).select("h", "rk", "place", "most", "n", "context")
-    windows = stored(ones.mapInPandas(_window_hashes, "w long, w2 long, rk long, a long, n long"), "windows")
-    twice = windows.groupBy("w", "w2").agg(F.count("*").alias("m")).where("m > 1").select("w", "w2")
-    single = windows.where("n = 1").join(twice, ["w", "w2"], "left_semi").select("rk", "a", F.col("a").alias("b"))
-    return out.unionByName(again).unionByName(single)
+    places = texts.mapInPandas(_anchors, "key long, same long, rk long, place long, most short, least short, m byte")
+    places = places.repartition("key").sortWithinPartitions("key", "same")
+    found = stored(places.mapInPandas(_classes, "h long, rk long, place long, most short, least short, m byte"), "places")
+    out = found.where("m = 0").select("rk", (F.col("place") - F.col("most")).alias("a"), (F.col("place") - F.col("least")).alias("b"))
+
+    ones = found.where("m > 0")
+    sizes = stored(ones.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select(F.col("h").alias("of")), "sizes")
+    some = sizes.count()
+    if some:
+        large = F.broadcast(sizes) if some <= BROADCAST_ROWS else sizes
+        ones = ones.join(large, F.col("h") == F.col("of"), "left").withColumn("large", F.col("of").isNotNull())
+    else:
+        ones = ones.withColumn("large", F.lit(False))
+    own = ones.groupBy("rk").agg(F.collect_set(F.struct("h", "place", "most", "least", "m", "large")).alias("found"))  # at most a text's anchors
+    pressed = texts.mapInPandas(press, "rk long, z binary")
+    contexts = pressed.join(own, "rk").mapInPandas(_contexts, "h long, rk long, place long, most int, least int, m int, large boolean, context binary")
+    if some:
+        contexts = stored(contexts, "contexts")
+    small = contexts.where("NOT large").select("h", "rk", "place", "most", "context").repartition("h").sortWithinPartitions("h")
+    out = out.unionByName(small.mapInPandas(_bucketed, "rk long, a long, b long"))
+    if some:
+        for more in _halved(contexts.where("large").drop("large")):
+            out = out.unionByName(more)
+    return out
 
 
 def remove(docs: DataFrame, carry: list[str], with_text: bool = True) -> DataFrame:
@@ -252,16 +326,14 @@ def remove(docs: DataFrame, carry: list[str], with_text: bool = True) -> DataFra
 
     Texts are UTF-8 bytes and judged as given. Returns `carry`, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
     and, if with_text, kept (the other bytes in order). Null and empty texts have no bytes; texts under 200 bytes lose none;
-    repeated rows are copies of each other and lose all; an empty table gives no rows.
+    repeated rows are copies of each other and lose all; an empty table gives no rows; a carried column of a new name gives way.
     """
-    docs = docs.select(*carry, F.coalesce("text", F.lit("")).alias("__text"))
-    docs = docs.withColumn("__rk", F.xxhash64(*carry, "__text"))
-    texts = docs.where(F.octet_length("__text") >= LENGTH).select(F.col("__rk").alias("rk"), F.col("__text").alias("text"))
-    spans = repeats(texts).groupBy("rk").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    pressed = docs.select(*carry, F.col("__rk").alias("rk"), F.col("__text").alias("text"))
-    kinds = dict(docs.dtypes)
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in carry)
-    pressed = pressed.mapInPandas(_compressed, schema + "rk long, z binary")
+    carried, new = Carried(docs, carry), ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    docs = docs.select(*carried.columns(), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("rk", F.xxhash64(*docs.columns))
+    spans = repeats(docs.where(F.octet_length("text") >= LENGTH).select("rk", "text")).groupBy("rk").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    schema = ", ".join([carried.schema()] * bool(carry))
+    pressed = docs.mapInPandas(press, schema + ", " * bool(carry) + "rk long, z binary")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -276,8 +348,9 @@ def remove(docs: DataFrame, carry: list[str], with_text: bool = True) -> DataFra
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 row = (len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
                 rows.append((*row, kept) if with_text else row)
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
-            yield pd.concat([batch[carry], pd.DataFrame(rows, columns=names, index=batch.index, dtype=object)], axis=1)
+            yield pd.concat([batch, pd.DataFrame(rows, columns=new, index=batch.index, dtype=object)], axis=1)
 
-    both = pressed.join(spans, "rk", "left").select(*carry, "z", "spans")
-    return both.mapInPandas(run, schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    both = pressed.join(spans, "rk", "left").select(*carried.keys, "z", "spans")
+    kinds = ["long", "long", "long", "string", "binary"]
+    out = both.mapInPandas(run, ", ".join([schema] * bool(carry) + [f"{c} {kind}" for c, kind in zip(new, kinds, strict=False)]))
+    return out.select(*carried.back(new), *new)
