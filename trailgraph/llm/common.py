@@ -2,53 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
-BLANKS = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set."""
-    context = spark.sparkContext
-    set_already = context._jsc.sc().getCheckpointDir()
-    where = spark.conf.get("spark.checkpoint.dir", None) or (set_already.get() if set_already.isDefined() else None)
-    if where is None:
-        where = "file://" + tempfile.mkdtemp(prefix="trailgraph-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not set_already.isDefined():
-        context.setCheckpointDir(where)
-    return where
-
+from trailgraph.plans.durable import shared_dir, ship, stored
 
-_shipped: set[str] = set()
+__all__ = ["BLANKS", "Carried", "blank_count", "held_out", "press", "shared_dir", "ship", "stored", "table", "unpress", "word_count", "words_of"]
 
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that their Python workers can import it."""
-    if spark.sparkContext.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[2]
-        target = Path(tempfile.mkdtemp(prefix="trailgraph-code-")) / "trailgraph.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted((root / "trailgraph").rglob("*.py")):
-                z.write(f, f.relative_to(root))
-        spark.sparkContext.addPyFile(str(target))
-        _shipped.add(spark.sparkContext.applicationId)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage is cut and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The six bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 WHOLE = ("tinyint", "smallint", "int", "bigint")
