@@ -29,10 +29,10 @@ from trailgraph.llm.common import stored
 
 #: Words in each of the two generations that a Python worker remembers, also from task to task. When the young one is full, the
 #: old one goes and words that are met again move on. Only speed depends on it.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 
 #: Texts whose words are looked up together.
-TEXTS_AT_ONCE = 4096
+TEXTS_AT_ONCE = 2048
 
 #: Pieces of one length that a single sort may rank; more are dealt over several.
 RANKED_TOGETHER = 100_000
