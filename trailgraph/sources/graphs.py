@@ -68,8 +68,9 @@ class Graph:
         return Graph(self.vertices, stored(self.edges.repartition("src").sortWithinPartitions("src", "dst"), "arcs"))
 
     def size(self) -> DataFrame:
-        v = self.vertices.agg(F.count("*").alias("n_vertices"))
-        return v.crossJoin(self.edges.agg(F.count("*").alias("n_arcs")))  # one row with one row
+        one, none = F.lit(1).alias("v"), F.lit(0).alias("e")
+        both = self.vertices.select(one, none).union(self.edges.select(none, one))
+        return both.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("n_vertices"), F.coalesce(F.sum("e"), F.lit(0)).alias("n_arcs"))
 
     def successors(self) -> DataFrame:
         """src and its successors in order; a row for each vertex that has some."""
