@@ -154,14 +154,7 @@ def _reduced(layers: list[DataFrame]) -> DataFrame:
     every = nodes[0]
     for more in nodes[1:]:
         every = every.union(more)
-    root = known.join(layers[0].select("key"), "key").select("node")
-    reached = frontier = stored(root.where("node NOT IN ('0', '1')"), "nodes")
-    every = stored(every, "nodes")
-    while not frontier.isEmpty():
-        ahead = every.join(frontier, "node", "left_semi").select(F.explode(F.array("l", "h")).alias("node")).where("node NOT IN ('0', '1')").distinct()
-        frontier = stored(ahead.join(reached, "node", "left_anti"), "nodes")
-        reached = stored(reached.union(frontier), "nodes")
-    every = every.join(reached, "node", "left_semi")
+    # Each node is some state's, and states come from the root, so all nodes hang together.
     numbered = stored(running(every, ["var", "l", "h"], {}).withColumn("id", F.col("pos") + 2), "nodes")
     ids = numbered.select("node", "id").union(spark.createDataFrame([("0", 0), ("1", 1)], "node STRING, id BIGINT"))
     lo, hi = ids.select(F.col("node").alias("l"), F.col("id").alias("lo")), ids.select(F.col("node").alias("h"), F.col("id").alias("hi"))
