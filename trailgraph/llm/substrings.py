@@ -10,14 +10,14 @@ the texts before the anchor are sorted backwards, which shows where the left ext
 repeated where the shared prefix and the longest shared left extension together reach the length.
 
 Surroundings of an anchor that are equal, by two hashes of 64 bits, repeat each other whole: they count as one and only one
-travels as bytes. Buckets that stay beyond a bound are not gathered but halved, by where in a window the anchor stands.
+travels as bytes. Buckets that stay beyond a bound are not gathered but parted, by where in a window the anchor stands.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,8 @@ LENGTH = 200
 GRAM = 64
 #: Texts that a bucket may gather.
 BUCKET = 512
+#: Parts that the windows of a large bucket are dealt into at once.
+PARTS = 8
 #: Rows of the table of large buckets up to which it is broadcast, 8 bytes each.
 BROADCAST_ROWS = 100_000
 #: Bytes of a text whose windows are scanned at once.
@@ -255,39 +257,41 @@ def _bucketed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield found(rest)
 
 
-def _halved(rows: DataFrame) -> Iterator[DataFrame]:
-    """Repeated windows of large buckets (h, rk, place, most, least, m, context), as rk, a, b.
+def _parted(rows: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Parts large buckets (h, rk, place, most, least, m, context): windows found repeated (rk, a, b), and small buckets to compare.
 
-    The windows of a bucket are split by how far before the anchor they start. Those that start low to high bytes before it
+    The windows of a bucket are parted by how far before the anchor they start. Those that start low to high bytes before it
     all hold `low` bytes before and LENGTH - high bytes from the anchor on, so these bytes make buckets of that range: small
-    ones are compared as any bucket, large ones are split again. In each, rows that agree on all windows of the range are
-    repeated and go on as one.
+    ones are compared as any bucket, large ones are parted again. In each, rows that agree on all windows of the range are
+    repeated and go on as one. count: the rows, about.
     """
     low, high = F.col("low"), F.col("high")
     rows = rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(LENGTH - GRAM)).withColumn("key", F.col("h"))
+    members, repeated, few = [], [], []
     while True:
         # All that the row's windows of the range cover.
         least, most = F.greatest("low", "least"), F.least("high", "most")
         covered = F.substring("context", F.col("most") - most + 1, most + LENGTH - least)
-        rows = stored(rows.withColumn("same", F.xxhash64(least, most, covered)), "halves")
-        classes = rows.groupBy("h", "key", "same").agg(F.sum("m").alias("n"), F.min(F.struct("rk", "place")).alias("one"))
-        classes = stored(classes, "classes")
-        again = rows.where("m < 2").join(classes.where("n > 1").select("h", "key", "same"), ["h", "key", "same"], "left_semi")
-        yield again.select("rk", (F.col("place") - most).alias("a"), (F.col("place") - least).alias("b"))
-        ones = rows.join(classes.select("h", "key", "same", F.col("one.rk").alias("rk"), F.col("one.place").alias("place"), "n"), ["h", "key", "same", "rk", "place"])
-        ones = ones.dropDuplicates(["h", "key", "same"]).withColumn("m", F.when(F.col("n") > 1, 2).otherwise(F.col("m")))
-        middle = F.floor((low + high) / 2).cast("int")
-        parts = F.array(F.struct(low.alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), high.alias("high")))
-        ones = ones.where("low < high").withColumn("part", F.explode(F.filter(parts, lambda p: (p["low"] <= F.col("most")) & (p["high"] >= F.col("least")))))
+        rows = stored(rows.withColumn("same", F.xxhash64(least, most, covered)), "parts", count)
+        one = F.min(F.struct("rk", "place", "most", "least", "m", "context")).alias("one")
+        classes = stored(rows.groupBy("h", "key", "low", "high", "same").agg(F.sum("m").alias("n"), one), "classes", count)
+        members.append(rows.where("m < 2").select("h", "key", "same", "rk", (F.col("place") - most).alias("a"), (F.col("place") - least).alias("b")))
+        repeated.append(classes.where("n > 1").select("h", "key", "same"))
+
+        ones = classes.where("low < high").select("h", "low", "high", "one.*", "n").withColumn("m", F.when(F.col("n") > 1, 2).otherwise(F.col("m")))
+        step = F.ceil((high - low + 1) / PARTS).cast("int")
+        parts = F.transform(F.sequence(low, high, step), lambda p: F.struct(p.alias("low"), F.least(p + step - 1, high).alias("high")))  # noqa: B023
+        ones = ones.withColumn("part", F.explode(F.filter(parts, lambda p: (p["low"] <= F.col("most")) & (p["high"] >= F.col("least")))))
         ones = ones.select("h", "rk", "place", "most", "least", "m", "context", "part.low", "part.high")
         shared = F.substring("context", F.col("most") - low + 1, low + LENGTH - high)
-        ones = stored(ones.withColumn("key", F.xxhash64("low", "high", shared)), "halves")
-        sizes = stored(ones.groupBy("h", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-        few = ones.join(sizes.where(F.col("n") <= BUCKET).select("h", "key"), ["h", "key"], "left_semi").withColumn("h", F.xxhash64("h", "key"))
-        yield few.repartition("h").sortWithinPartitions("h").mapInPandas(_bucketed, "rk long, a long, b long")
-        if sizes.where(F.col("n") > BUCKET).isEmpty():
-            return
-        rows = ones.join(sizes.where(F.col("n") > BUCKET).select("h", "key"), ["h", "key"], "left_semi")
+        ones = stored(ones.withColumn("key", F.xxhash64("low", "high", shared)), "parts", PARTS * count)
+        sizes = ones.groupBy("h", "key").agg(F.count("*").alias("n")).where("n > 1")
+        ones = stored(ones.join(sizes, ["h", "key"]), "parts", PARTS * count)
+        few.append(ones.where(F.col("n") <= BUCKET).select(F.xxhash64("h", "key").alias("h"), "rk", "place", "most", "context"))
+        rows = ones.where(F.col("n") > BUCKET).drop("n")
+        if rows.isEmpty():
+            every = reduce(DataFrame.unionByName, members).join(reduce(DataFrame.unionByName, repeated), ["h", "key", "same"], "left_semi")
+            return every.select("rk", "a", "b"), reduce(DataFrame.unionByName, few)
 
 
 def repeats(texts: DataFrame) -> DataFrame:
@@ -301,10 +305,10 @@ def repeats(texts: DataFrame) -> DataFrame:
     out = found.where("m = 0").select("rk", (F.col("place") - F.col("most")).alias("a"), (F.col("place") - F.col("least")).alias("b"))
 
     ones = found.where("m > 0")
-    sizes = stored(ones.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select(F.col("h").alias("of")), "sizes")
-    some = sizes.count()
+    sizes = stored(ones.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select(F.col("h").alias("of"), "n"), "sizes")
+    some, count = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if some:
-        large = F.broadcast(sizes) if some <= BROADCAST_ROWS else sizes
+        large = F.broadcast(sizes.select("of")) if some <= BROADCAST_ROWS else sizes.select("of")
         ones = ones.join(large, F.col("h") == F.col("of"), "left").withColumn("large", F.col("of").isNotNull())
     else:
         ones = ones.withColumn("large", F.lit(False))
@@ -313,12 +317,12 @@ def repeats(texts: DataFrame) -> DataFrame:
     contexts = pressed.join(own, "rk").mapInPandas(_contexts, "h long, rk long, place long, most int, least int, m int, large boolean, context binary")
     if some:
         contexts = stored(contexts, "contexts")
-    small = contexts.where("NOT large").select("h", "rk", "place", "most", "context").repartition("h").sortWithinPartitions("h")
-    out = out.unionByName(small.mapInPandas(_bucketed, "rk long, a long, b long"))
+    small = contexts.where("NOT large").select("h", "rk", "place", "most", "context")
     if some:
-        for more in _halved(contexts.where("large").drop("large")):
-            out = out.unionByName(more)
-    return out
+        more, few = _parted(contexts.where("large").drop("large"), count)
+        out, small = out.unionByName(more), small.unionByName(few)
+    small = small.repartition("h").sortWithinPartitions("h")
+    return out.unionByName(small.mapInPandas(_bucketed, "rk long, a long, b long"))
 
 
 def remove(docs: DataFrame, carry: list[str], with_text: bool = True) -> DataFrame:
