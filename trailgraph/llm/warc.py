@@ -104,19 +104,19 @@ def reachable(candidates: DataFrame) -> DataFrame:
     """The candidates (path, begin, next) that a chain from offset 0 of their file reaches: path, begin."""
     candidates = jumps = stored(candidates, "jumps")
     found = stored(jumps.where("begin = 0").select("path", "begin").distinct(), "reached")
-    n = found.count()
+    n, every = found.count(), candidates.count()
     while n:
         step = jumps.join(found, ["path", "begin"], "left_semi").select("path", F.col("next").alias("begin"))
         # Only ends at which a candidate begins count.
         step = step.join(candidates.select("path", "begin"), ["path", "begin"], "left_semi")
-        found = stored(found.union(step).distinct(), "reached")
+        found = stored(found.union(step).distinct(), "reached", every)
         now = found.count()
         if now == n:
             break
         n = now
         a, b = jumps.alias("a"), jumps.alias("b")
         on = (F.col("a.path") == F.col("b.path")) & (F.col("a.next") == F.col("b.begin"))
-        jumps = stored(a.join(b, on).select("a.path", "a.begin", "b.next"), "jumps")
+        jumps = stored(a.join(b, on).select("a.path", "a.begin", "b.next"), "jumps", every)
     return found
 
 
