@@ -25,10 +25,10 @@ def connected(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "edges")
+        large = stored(large, "edges", now[0])
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", now[0])
 
 
 def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
