@@ -3,6 +3,7 @@ import re
 import numpy as np
 import xxhash
 
+from corpus_pipeline import near_duplicates
 from trailgraph.llm import simhash
 from trailgraph.llm.components import connected, forest
 
@@ -95,3 +96,48 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges + [(None, 3), (4, 4)], "a BIGINT, b BIGINT")).collect()}
     assert all(got.get(v, v) == root[v] for v in range(600)) and all(v != c for v, c in got.items())
     assert connected(spark.createDataFrame([], "a BIGINT, b BIGINT")).count() == 0
+
+
+def overlapping(rng, name, size, jaccard):
+    """Two texts of `size` different five-word shingles each, and their similarity, the least that is at least `jaccard`."""
+    shared = int(np.ceil(2 * size * jaccard / (1 + jaccard)))
+    words = [f"{name}w{k}x{rng.integers(1 << 30)}" for k in range(2 * size - shared + 4)]
+    return " ".join(words[: size + 4]), " ".join(words[size - shared :]), shared / (2 * size - shared)
+
+
+def shingle_sets(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def test_pairs_just_over_and_under_the_similarity(spark, odd):
+    """Of pairs at 0.80 to 0.82 the pipeline's stage links nearly all; none under 0.8 is linked, also in buckets over a tile."""
+    rng = np.random.default_rng(5)
+    texts, over = [], []
+    for k in range(200):
+        a, b, found = overlapping(rng, f"p{k}", (60, 300)[k % 2], (0.8, 0.81, 0.75, 0.785)[k // 2 % 4])
+        x, y = shingle_sets(a), shingle_sets(b)
+        assert len(x & y) / len(x | y) == found
+        texts += [a, b]
+        over.append(found >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    kept = {r["doc_id"] for r in near_duplicates(spark, df, "").select("doc_id").collect()}
+    together = [2 * k + 1 not in kept for k in range(200)]
+    assert kept >= {2 * k for k in range(200)} and not any(t and not o for t, o in zip(together, over, strict=True))
+    assert sum(together) >= 0.97 * sum(over) > 0
+    out = simhash.alike(df.where("doc_id < 32"), tile=2).collect()
+    assert sum(r["doc_id"] != r["component_id"] for r in out) == sum(together[:16])
+
+
+def test_alike_is_of_sets_of_shingles(spark, odd, none):
+    """One shingle that fills a text doesn't make it like another that it fills too; chains of links join groups."""
+    fill = "a b c d e " * 40
+    base = [f"w{k}" for k in range(104)]
+    chain = [" ".join(base[4 * k :] + [f"n{x}" for x in range(4 * k)]) for k in range(6)]
+    rows = [(0, fill + " ".join(f"u{k}" for k in range(60))), (1, fill + " ".join(f"v{k}" for k in range(60))), (2, None), (3, "")]
+    rows += [(10 + k, t) for k, t in enumerate(chain)]
+    out = {r["doc_id"]: r["component_id"] for r in simhash.alike(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert out == {0: 0, 1: 1, 2: 2, 3: 2, **{10 + k: 10 for k in range(6)}}
+    assert simhash.alike(none).count() == 0 and simhash.alike(odd).count() == odd.count()
+    kept = simhash.one_of_each(odd, simhash.alike)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 7, 8, 9]

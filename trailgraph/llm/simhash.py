@@ -8,12 +8,15 @@ chain keeps its budgets are dropped before the Hamming distance is taken.
 Equal fingerprints are one class from the start. A bucket of fingerprints that share a segment is compared in blocks: one
 with more than a tile of members is dealt over all pairs of its tiles, so no task gathers it. A task returns a spanning
 forest of the links that it finds, not the links.
+
+alike() takes fingerprints for candidates only: pairs of documents near enough in them are accepted by the exact Jaccard
+similarity of their sets of shingles.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,7 +61,11 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int, parts: int) -> list[int]:
     """`parts` fingerprints of 64 bits, unsigned; all zero without words."""
-    h = shingle_hashes(text or "", shingle)
+    return majority(shingle_hashes(text or "", shingle), parts)
+
+
+def majority(h: np.ndarray, parts: int) -> list[int]:
+    """The fingerprints of hashes: bits that more than half of them have."""
     out = []
     for k in range(parts):
         counts = np.zeros(64, np.int64)
@@ -131,32 +138,23 @@ def compared(group: np.ndarray, prints: np.ndarray, ring: list, distance: int, c
     return root
 
 
-def similar(docs: DataFrame, shingle: int = 3, parts: int = 1, segment_count: int = 3, distance: int = 2, chain: int | None = None, tile: int = TILE) -> DataFrame:
-    """Groups docs (doc_id, text): returns doc_id, f0, f1, ... and component_id, the smallest doc_id that links reach.
-
-    Two documents are linked if their fingerprints of 64 * parts bits differ in at most `distance` bits. All such links count
-    if segment_count > distance; else those that share a segment. Null and empty texts have the fingerprint zero and are
-    linked with each other. Rows of one doc_id are one document. A null doc_id gets its fingerprint's component. An empty
-    table gives no rows; other columns are ignored.
-    """
-    found = fingerprinted(docs, shingle, parts)
-    names, ring = [f"f{k}" for k in range(parts)], segments(parts, segment_count)
-    chain = len(ring) if chain is None else chain
-    classes = stored(found.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes")
-
-    value = lambda k: F.shiftrightunsigned(F.col(f"f{ring[k][0]}"), ring[k][1]).bitwiseAND(F.lit((1 << ring[k][2]) - 1))
-    keys = F.array(*[(value(k) * len(ring) + k) for k in range(len(ring))])
-    dealt = classes.select("rep", *names, F.explode(keys).alias("key"))
+def dealt_out(dealt: DataFrame, names: list[str], tile: int) -> DataFrame:
+    """Rows with a key, those of buckets over a tile repeated for all pairs of its tiles under a key for each pair."""
     sizes = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     large = sizes.where(F.col("n") > tile).select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     few = large.count()
     if few:
+        others = [c for c in dealt.columns if c != "key"]
         dealt = dealt.join(F.broadcast(large) if few <= BROADCAST_ROWS else large, "key", "left")
         own = F.pmod(F.xxhash64(*names), F.col("tiles")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(own, t).alias("x"), F.greatest(own, t).alias("y")))
         pairs = F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(pairs)
-        dealt = dealt.withColumn("p", F.explode(pairs)).select("rep", *names, F.xxhash64("key", "p.x", "p.y").alias("key"))
-    kind = dict(classes.dtypes)["rep"]
+        dealt = dealt.withColumn("p", F.explode(pairs)).select(*others, F.xxhash64("key", "p.x", "p.y").alias("key"))
+    return dealt
+
+
+def by_group(links: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """links over batches of rows sorted by key, such that no key's rows are parted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -169,6 +167,27 @@ def similar(docs: DataFrame, shingle: int = 3, parts: int = 1, segment_count: in
         if rest is not None:
             yield links(rest)
 
+    return run
+
+
+def similar(docs: DataFrame, shingle: int = 3, parts: int = 1, segment_count: int = 3, distance: int = 2, chain: int | None = None, tile: int = TILE) -> DataFrame:
+    """Groups docs (doc_id, text): returns doc_id, f0, f1, ... and component_id, the smallest doc_id that links reach.
+
+    Two documents are linked if their fingerprints of 64 * parts bits differ in at most `distance` bits. All such links count
+    if segment_count > distance; else those that share a segment. Null and empty texts have the fingerprint zero and are
+    linked with each other. Rows of one doc_id are one document. A null doc_id gets its fingerprint's component. An empty
+    table gives no rows; other columns are ignored.
+    """
+    found = fingerprinted(docs, shingle, parts)
+    names, ring = [f"f{k}" for k in range(parts)], segments(parts, segment_count)
+    chain = len(ring) if chain is None else chain
+    classes = stored(found.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes")
+
+    value = lambda k: F.shiftrightunsigned(F.col(f"f{ring[k][0]}"), ring[k][1]).bitwiseAND(F.lit((1 << ring[k][2]) - 1))
+    keys = F.array(*[(value(k) * len(ring) + k) for k in range(len(ring))])
+    dealt = dealt_out(classes.select("rep", *names, F.explode(keys).alias("key")), names, tile)
+    kind = dict(classes.dtypes)["rep"]
+
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         rep = rows["rep"].to_numpy()
         root = compared(rows["key"].to_numpy(), rows[names].to_numpy().view(np.uint64), ring, distance, chain)
@@ -176,13 +195,115 @@ def similar(docs: DataFrame, shingle: int = 3, parts: int = 1, segment_count: in
         return pd.DataFrame({"a": rep[moved], "b": rep[root[moved]]})
 
     shuffled = dealt.repartition("key").sortWithinPartitions("key")
-    component = connected(shuffled.mapInPandas(run, f"a {kind}, b {kind}"))
+    component = connected(shuffled.mapInPandas(by_group(links), f"a {kind}, b {kind}"))
     classes = classes.join(component, F.col("rep") == F.col("node"), "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
     return found.join(classes, names, "left").select("doc_id", *names, "component_id")
 
 
-def one_of_each(docs: DataFrame, **kw) -> DataFrame:
+#: Tables of candidates of alike(): byte b of a fingerprint with byte b ^ step, each pair of bytes a table.
+STEPS = (1, 2, 4)
+
+
+def byte_pairs(parts: int) -> np.ndarray:
+    """The pairs of places of bytes, low byte of the first part first, that key the tables."""
+    return np.array([(b, b ^ step) for step in STEPS for b in range(8 * parts) if b < b ^ step])
+
+
+def near(group: np.ndarray, own: np.ndarray, prints: np.ndarray, pairs: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one group (sorted) that differ in at most `distance` bits, a pair only in the first table that holds it."""
+    n, found = len(group), [(np.empty(0, int), np.empty(0, int))]
+    at = np.arange(n)
+    for gap in range(1, n):
+        at = at[at < n - gap]
+        at = at[group[at] == group[at + gap]]
+        if not len(at):
+            break
+        for k in range(0, len(at), 1 << 18):
+            some = at[k : k + (1 << 18)]
+            diff = prints[some] ^ prints[some + gap]
+            hit = np.bitwise_count(diff).sum(axis=1) <= distance
+            some, same = some[hit], diff[hit].astype("<u8").view(np.uint8).reshape(-1, 8 * prints.shape[1]) == 0
+            some = some[(same[:, pairs[:, 0]] & same[:, pairs[:, 1]]).argmax(axis=1) == own[some]]
+            found.append((some, some + gap))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def shingled(docs: DataFrame, shingle: int, parts: int = 0) -> DataFrame:
+    """doc_id with h, its sorted set of shingles' hashes (without parts), or d0 and d1, a digest of that set, and f0, f1, ..."""
+    names = ["d0", "d1", *(f"f{k}" for k in range(parts))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t if isinstance(t, str) else "", shingle)) for t in batch.pop("text")]
+            if parts:
+                digests = [divmod(xxhash.xxh3_128_intdigest(h.tobytes(), SEED), 1 << 64) for h in sets]
+                found = np.array([(*d, *majority(h, parts)) for d, h in zip(digests, sets, strict=True)], np.uint64).reshape(-1, len(names))
+                yield batch.assign(**dict(zip(names, found.view(np.int64).T, strict=True)))
+            else:
+                yield batch.assign(h=[h.view(np.int64) for h in sets])
+
+    carried = Carried(docs, ["doc_id"])
+    new = names if parts else ["h"]
+    schema = carried.schema() + ", " + (", ".join(f"{c} long" for c in new) if parts else "h array<long>")
+    return docs.select(*carried.columns(), "text").mapInPandas(run, schema).select(*carried.back(), *new)
+
+
+def agreed(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (doc_id, h) have at least that Jaccard similarity."""
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("h").alias("y")), "b")
+    kind = dict(pairs.dtypes)["a"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"], strict=True):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= jaccard * (len(x) + len(y) - shared))
+            yield batch.loc[np.array(keep, bool), ["a", "b"]]
+
+    return stored(both.mapInPandas(run, f"a {kind}, b {kind}"), "agreed")
+
+
+def alike(docs: DataFrame, shingle: int = 5, jaccard: float = 0.8, parts: int = 8, distance: int = 120, tile: int = TILE) -> DataFrame:
+    """Groups docs (doc_id, text) by exact Jaccard similarity of their sets of shingles: returns doc_id and component_id.
+
+    Equal sets are one class. Candidates are classes that share a pair of bytes of one of the tables and differ in at most
+    `distance` of 64 * parts bits; a pair is linked if its similarity is at least `jaccard`. First each class is held against
+    one candidate, then only the pairs that the links so far don't join, so a large group costs few comparisons of sets.
+    component_id is the smallest doc_id that links reach; doc_ids and texts are treated as similar() does.
+    """
+    found = stored(shingled(docs, shingle, parts), "fingerprints")
+    names, tables = [f"f{k}" for k in range(parts)], byte_pairs(parts)
+    classes = stored(found.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in names]).where("rep IS NOT NULL"), "classes")
+
+    byte = lambda b: F.shiftrightunsigned(F.col(f"f{b // 8}"), int(b % 8 * 8)).bitwiseAND(F.lit(255))
+    keys = F.array(*[(byte(a) * 256 + byte(b)) * len(tables) + k for k, (a, b) in enumerate(tables.tolist())])
+    dealt = classes.select("rep", *names, F.posexplode(keys).alias("own", "key"))
+    dealt = dealt_out(dealt.select("rep", *names, F.col("own").cast("short"), "key"), ["rep"], tile)
+    kind = dict(classes.dtypes)["rep"]
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        rep = rows["rep"].to_numpy()
+        i, j = near(rows["key"].to_numpy(), rows["own"].to_numpy(), rows[names].to_numpy().view(np.uint64), tables, distance)
+        return pd.DataFrame({"a": rep[i], "b": rep[j]})
+
+    shuffled = dealt.repartition("key").sortWithinPartitions("key")
+    pairs = shuffled.mapInPandas(by_group(links), f"a {kind}, b {kind}").where("a <> b")
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = stored(shingled(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").distinct(), shingle), "sets")
+
+    linked = agreed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, jaccard)
+    component = connected(linked)
+    of = lambda end: component.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    component = connected(linked.union(agreed(rest, sets, jaccard)))
+    classes = classes.join(component, F.col("rep") == F.col("node"), "left").select("d0", "d1", F.coalesce("component", "rep").alias("component_id"))
+    return found.join(classes, ["d0", "d1"], "left").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, groups: Callable[..., DataFrame] = similar, **kw) -> DataFrame:
     """The documents with their own columns, but one of each group: that with the smallest doc_id. Repeated rows stay once."""
-    kept = similar(docs, **kw).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = groups(docs, **kw).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     kept = stored(kept, "kept")
     return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates()
