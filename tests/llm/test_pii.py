@@ -68,6 +68,26 @@ def test_terms_that_reveal(spark):
     assert last["spans"] == "term:0:7" and last["clean_text"] == " without an address" and last["n_email"] == 0
 
 
+def test_rare_terms_that_reveal_are_marked_in_a_large_corpus(spark):
+    """The number of documents that a term needs doesn't grow with the corpus."""
+    beside = " ".join("ab cd ef gh ij kl mn op".split())
+    rows = [f"{beside} x{i}@y.de {beside.upper()[::-1]}" for i in range(5000)] + [f"{beside} {beside[::-1]}"] * 9000
+    rows += [f"kontakt x{i}@y.de" for i in range(6)]
+    terms = pii.disclosing(spark.createDataFrame([(t,) for t in rows], "text STRING"))
+    assert terms == {"kontakt": 1.0}
+
+
+def test_terms_joined_are_as_those_sent(spark, odd, monkeypatch):
+    """Past the bound for sending them, terms are joined: the same rows, also for null, empty and repeated texts."""
+    rows = [f"kontakt x{i}@y.de mail Adresse" for i in range(20)] * 2 + ["the weather is fine"] * 100 + ["Kontakt ohne adresse", None, "", " 1 "]
+    texts = spark.createDataFrame([(i // 2, t) for i, t in enumerate(rows)], "doc_id INT, text STRING")
+    sent = sorted(map(repr, pii.sanitise(texts).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", 1)
+    joined = sorted(map(repr, pii.sanitise(texts).collect()))
+    assert sent == joined and any("term:0:7" in r for r in sent)
+    assert pii.sanitise(odd).count() == odd.count()
+
+
 def test_cleaned():
     text = "write to a.b@c.de or +1 (269) 555-3296 now"
     assert pii.cleaned(text, pii.base_spans(text), {}) == "write to [EMAIL] or [PHONE] now"

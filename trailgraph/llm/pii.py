@@ -9,13 +9,12 @@ over the thresholds are marked wherever they stand, and generalised or, if they
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgraph.llm.common import Carried, stored
@@ -35,9 +34,10 @@ TERM = re.compile(r"[^\W\d_]{2,}")
 
 #: Terms on either side of protected data that count as near.
 NEAR = 8
-#: Share of all near terms, and number of documents, that a term needs to be judged. The share bounds the judged terms.
-SUPPORT = 1e-4
+#: Documents in which a term needs to stand near protected data to be judged, whatever the corpus's size.
 LEAST_DOCS = 5
+#: Disclosing terms up to which they are sent to all tasks, at about 20 bytes each; beyond, they are joined to the documents.
+BROADCAST_TERMS = 100_000
 #: Bits and shares from which a term is generalised, and the share from which it is removed.
 BITS = 1.0
 GENERALISE = 0.5
@@ -95,48 +95,63 @@ def near_terms(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -
     return found
 
 
-def disclosing(texts: DataFrame, near: int = NEAR, support: float = SUPPORT, least_docs: int = LEAST_DOCS, bits: float = BITS, generalise: float = GENERALISE) -> dict[str, float]:
-    """Terms of the corpus (column text) over the thresholds, with their share.
+def disclosing_terms(texts: DataFrame, near: int = NEAR, least_docs: int = LEAST_DOCS, bits: float = BITS, generalise: float = GENERALISE) -> DataFrame:
+    """Terms of the corpus (column text) over the thresholds, with their share: term, share.
 
-    Two passes count over all documents: which terms stand near protected data, and in how many documents each of those
-    with enough support stands at all. Support is a share of all near terms, so at most 1 / support terms come to the driver.
+    One pass counts over all documents in how many of them each term stands near protected data, and in how many at all. The
+    counts stay tables; none of them comes to the driver but those of documents.
     """
 
-    def nearby(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str | None] = Counter()
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        beside: Counter[str] = Counter()
+        every: Counter[str] = Counter()
         docs = held = 0
         for batch in batches:
             for text in batch["text"]:
                 docs += 1
-                if text and (spans := base_spans(text)):
-                    held += 1
-                    counts.update(near_terms(text, spans, near))
-            if len(counts) > 200_000:
-                yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}, dtype=object)
-                counts.clear()
-        yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}, dtype=object)
-        yield pd.DataFrame({"term": ["0docs", "0held"], "n": [docs, held]}, dtype=object)  # no term has a digit
-
-    found = stored(texts.select("text").mapInPandas(nearby, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "near-terms")
-    totals = {r["term"]: r["n"] for r in found.where("term IN ('0docs', '0held')").collect()}
-    terms = found.where("term NOT IN ('0docs', '0held')")
-    least = max(least_docs, math.ceil(support * (terms.agg(F.sum("n")).first()[0] or 0)))
-    candidates = {r["term"]: r["n"] for r in terms.where(F.col("n") >= least).collect()}
-    if not candidates:
-        return {}
-
-    def holding(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch["text"]:
                 if text:
-                    counts.update(candidates.keys() & {t.lower() for t in TERM.findall(text)})
-        yield pd.DataFrame({"term": list(counts), "n": list(counts.values())}, dtype=object)
+                    every.update({t.lower() for t in TERM.findall(text)})
+                    if spans := base_spans(text):
+                        held += 1
+                        beside.update(near_terms(text, spans, near))
+            if len(every) > 200_000:
+                yield rows(beside, every)
+                beside.clear()
+                every.clear()
+        every["0docs"], every["0held"] = docs, held  # no term has a digit
+        yield rows(beside, every)
+
+    def rows(beside: Counter[str], every: Counter[str]) -> pd.DataFrame:
+        terms = list(every.keys() | beside.keys())
+        return pd.DataFrame({"term": terms, "n": [beside[t] for t in terms], "docs": [every[t] for t in terms]})
+
+    found = texts.select("text").mapInPandas(counted, "term string, n long, docs long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = stored(found.where(F.col("term").isin("0docs", "0held") | (F.col("n") >= least_docs)), "near-terms")
+    totals = {r["term"]: r["docs"] for r in found.where("term IN ('0docs', '0held')").collect()}
+    prior = totals.get("0held", 0) / max(1, totals.get("0docs", 0))
+    terms = found.where("term NOT IN ('0docs', '0held') AND docs > 0").select("term", (F.col("n") / F.col("docs")).alias("share"))
+    return terms.where((F.col("share") >= generalise) & (F.log2(F.col("share") / F.lit(prior)) >= bits))
+
+
+def disclosing(texts: DataFrame, **thresholds) -> dict[str, float]:
+    """The terms of disclosing_terms, at the driver."""
+    return {r["term"]: r["share"] for r in disclosing_terms(texts, **thresholds).collect()}
+
+
+def terms_by_text(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """For each text (column text) that holds some of the terms: of, its digest, and a map own of these with their share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [sorted({t.lower() for t in TERM.findall(text)}) for text in batch.pop("text")]
+            yield batch.assign(term=found).explode("term").dropna()
+
+    each = texts.where("text IS NOT NULL").select(digest(F.col("text")).alias("of"), "text").mapInPandas(run, "of string, term string").distinct()
+    return each.join(terms, "term").groupBy("of").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("own"))
+
 
-    docs = texts.select("text").mapInPandas(holding, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    prior = totals["0held"] / totals["0docs"]
-    shares = {r["term"]: candidates[r["term"]] / r["n"] for r in docs.collect()}
-    return {t: s for t, s in shares.items() if s >= generalise and math.log2(s / prior) >= bits}
+def digest(text: Column) -> Column:
+    return F.sha2(F.encode(text, "utf-8"), 256)
 
 
 def all_spans(text: str, terms: dict[str, float]) -> list[tuple[int, int, int]]:
@@ -176,12 +191,16 @@ def sanitise(docs: DataFrame, carry: list[str] | None = None, with_text: bool =
     an empty table gives no rows; a carried column with one of the new names gives way to it.
     """
     carried = Carried(docs, [c for c in docs.columns if c != "text"] if carry is None else carry)
-    terms = disclosing(docs, **thresholds)
+    found = disclosing_terms(docs, **thresholds)
+    whole = {r["term"]: r["share"] for r in found.limit(BROADCAST_TERMS + 1).collect()}
+    few = len(whole) <= BROADCAST_TERMS
+    whole = whole if few else {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text in batch.pop("__text"):
+            held = [whole] * len(batch) if few else [dict(own) if own is not None else {} for own in batch.pop("__own")]
+            for text, terms in zip(batch.pop("__text"), held, strict=True):
                 spans = all_spans(text, terms) if text else []
                 base = [x for x in spans if x[1] < 4]
                 n = Counter(k for _, k, _ in base)
@@ -192,5 +211,9 @@ def sanitise(docs: DataFrame, carry: list[str] | None = None, with_text: bool =
     new = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"] + ["clean_text"] * with_text
     kinds = ["long"] * 4 + ["string"] * 3
     schema = ", ".join([carried.schema()] * bool(carried.keys) + [f"{c} {kind}" for c, kind in zip(new, kinds, strict=False)])
-    out = docs.select(*carried.columns(), F.col("text").alias("__text")).mapInPandas(run, schema)
+    out = docs.select(*carried.columns(), F.col("text").alias("__text"))
+    if not few:
+        own = terms_by_text(docs, found).select(F.col("of").alias("__of"), F.col("own").alias("__own"))
+        out = out.join(own, digest(F.col("__text")) == F.col("__of"), "left").drop("__of")
+    out = out.mapInPandas(run, schema)
     return out.select(*carried.back(new), *new)
