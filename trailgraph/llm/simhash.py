@@ -303,7 +303,10 @@ def alike(docs: DataFrame, shingle: int = 5, jaccard: float = 0.8, parts: int =
 
 
 def one_of_each(docs: DataFrame, groups: Callable[..., DataFrame] = similar, **kw) -> DataFrame:
-    """The documents with their own columns, but one of each group: that with the smallest doc_id. Repeated rows stay once."""
+    """The documents with their own columns, but one of each group: that with the smallest doc_id. Repeated rows stay once.
+
+    Documents with a null doc_id are left out, also those that nothing resembles.
+    """
     kept = groups(docs, **kw).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     kept = stored(kept, "kept")
     return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates()
