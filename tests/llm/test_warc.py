@@ -45,6 +45,14 @@ def test_magic_in_payloads_is_rejected(spark, odd):
     assert {bytes(r["payload"]).decode() for r in back} == {h or "" for h in HTML}
 
 
+def test_long_urls(spark, odd):
+    """A URL of any length hides neither its own record nor those after it."""
+    path = f"{shared_dir(spark)}/warc-long"
+    pages = spark.createDataFrame([(0, "u", "a"), (1, "u" * 70_000, "b"), (2, "u", "c")], "page_id BIGINT, url STRING, html STRING")
+    warc.write(pages.coalesce(1), path)
+    assert {r["page_id"] for r in warc.read(spark, path).collect()} == {"0", "1", "2"}
+
+
 def test_chains_of_any_length(spark, odd):
     for n in (0, 1, 2, 7, 64):
         rows = [("f", k * 10, k * 10 + 10) for k in range(n)] + [("f", 5, 20), ("g", 3, 9)]

@@ -66,8 +66,8 @@ def write(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE)
 def parse(content: bytes, begin: int) -> tuple[dict[str, str], int, int] | None:
     """Headers, begin of the payload and begin of the next record of what looks like a record at begin; None if it isn't."""
     magic, end = MAGIC.encode(), END.encode()
-    head = content.find(end, begin, begin + 65536)
-    if not content.startswith(magic, begin) or head < 0:
+    head = content.find(end, begin) if content.startswith(magic, begin) else -1
+    if head < 0:
         return None
     lines = content[begin + len(magic) : head].decode("utf-8", "replace").split("\r\n")
     headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
