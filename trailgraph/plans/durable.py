@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where none is set and all run on one machine."""
     context = spark.sparkContext
     set_already = context._jsc.sc().getCheckpointDir()
     where = spark.conf.get("spark.checkpoint.dir", None) or (set_already.get() if set_already.isDefined() else None)
     if where is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="trailgraph-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not set_already.isDefined():
@@ -28,18 +31,44 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_PER_TASK = 50_000
 
 
-def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, even: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage is cut and a lost executor costs nothing.
 
-    rows, an estimate, keeps small tables from being written by more tasks than they need.
+    rows, an estimate, keeps small tables from being written by more tasks than they need. even: df is shuffled into parts of
+    the session's advisory size first, so that a table much smaller than what it is made from is written in few files.
     """
+    if even:
+        df = df.hint("rebalance")
     if rows is not None:
         df = df.coalesce(1 + rows // ROWS_PER_TASK)
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{TABLES}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folder of the stored tables inside the shared folder.
+TABLES = "tables"
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes all stored tables of the shared folder, once no result is to be read from them any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{TABLES}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _kept.clear()
+
+
+_kept: dict[tuple[str, ...], DataFrame] = {}
+
+
+def stored_once(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
+    """stored(make()), made once a session and key: for tables derived from others that don't change meanwhile."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), *key)
+    if key not in _kept:
+        _kept[key] = stored(make(), key[-1])
+    return _kept[key]
+
+
 _shipped: set[str] = set()
 
 
