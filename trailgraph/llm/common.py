@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgraph.plans.durable import shared_dir, ship, stored
+from trailgraph.plans.durable import running, shared_dir, ship, stored
 
-__all__ = ["BLANKS", "Carried", "blank_count", "held_out", "press", "shared_dir", "ship", "stored", "table", "unpress", "word_count", "words_of"]
+__all__ = ["BLANKS", "Carried", "blank_count", "held_out", "press", "running", "shared_dir", "ship", "stored", "table", "unpress", "word_count", "words_of"]
 
 #: The six bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"

@@ -111,13 +111,16 @@ e AS (SELECT *, CAST(coalesce(sum(most) OVER (ORDER BY full_at, rank ROWS BETWEE
     CAST(sum(source_size) OVER () AS DOUBLE) AS everything FROM c),
 l AS (SELECT *, (everything * 1.5::DOUBLE - spent) / weights_left AS level FROM e),
 t AS (SELECT level AS vt FROM l WHERE level <= full_at ORDER BY full_at, rank LIMIT 1),
-g AS (SELECT source, source_size, least(weight * (SELECT vt FROM t), CAST(most AS DOUBLE)) AS target FROM l),
-q AS (SELECT d.doc_id, d.size, g.source_size, g.target,
+g AS (SELECT source, source_size, rank, weight, least(weight * (SELECT vt FROM t), CAST(most AS DOUBLE)) AS target FROM l),
+q AS (SELECT d.doc_id, d.k, d.size, g.source_size, g.target, g.rank, g.weight, row_number() OVER () AS id,
     CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  greatest(0, least(size, CAST(floor(target) AS BIGINT) - start)) + greatest(0, least(size, CAST(floor(target) AS BIGINT) - source_size - start)) AS taken
-FROM q
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+p AS (SELECT q.*, epoch, first, least(size - first, 256) AS words FROM q, (VALUES (0), (1)) e(epoch), unnest(range(0, greatest(size, 1), 256)) u(first)),
+f AS (SELECT *, (start + first + words + epoch * source_size) * (10 // weight) AS finish FROM p),
+c2 AS (SELECT *, CAST(sum(words) OVER (ORDER BY finish, rank, epoch, k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto FROM f),
+b AS (SELECT CAST(floor(sum(source_size) * 1.5::DOUBLE) AS BIGINT) AS budget FROM s)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(words, budget - (upto - words)))) AS BIGINT) AS taken
+FROM c2, b GROUP BY id, doc_id, size, source_size, target
 """
 
 ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op7_mix": OP7_SQL}
