@@ -1,6 +1,8 @@
+import math
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from trailgraph.llm import rules
@@ -58,6 +60,41 @@ def test_thresholds_adapt_and_keep_clean_documents(docs, spark, sf_dir):
     assert not got[(0, "p")] and got[(1, "p")] and got[(0, "m")]  # as usual as its source
 
 
+def test_verdicts_and_thresholds_match_plain_quartiles(docs):
+    """Sketches of so few values are exact but for the rank that a quartile takes; verdicts follow from thresholds alone."""
+    found = rules.measured(docs, ["doc_id"]).toPandas()
+    limits = {(r["lang"], r["source"]): r for r in rules.thresholds(rules.measured(docs, ["doc_id"])).collect()}
+
+    def limit(rows, ratio, spread):
+        quarter = lambda q: sorted(rows[ratio])[max(0, math.ceil(q * len(rows)) - 1)]
+        return quarter(0.75) + rules.FENCE * max(quarter(0.75) - quarter(0.25), spread)
+
+    for (lang, source), rows in found.groupby(["lang", "source"], dropna=False):
+        for ratio, spread in rules.RATIOS.items():
+            n, whole = len(rows), found[found["lang"] == lang]
+            want = (n * limit(rows, ratio, spread) + rules.PRIOR_DOCS * limit(whole, ratio, spread)) / (n + rules.PRIOR_DOCS)
+            assert limits[lang, source][ratio] == pytest.approx(want, rel=1e-9)
+    kept = {r["doc_id"]: r["kept"] for r in rules.judge(docs, ["doc_id"]).select("row.doc_id", "kept").collect()}
+    for r in found.itertuples():
+        base = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
+        assert kept[r.row["doc_id"]] == (not base and all(getattr(r, x) <= limits[r.lang, r.source][x] for x in rules.RATIOS))
+
+
+def test_a_group_leans_on_its_language_by_its_size(spark):
+    """A group of one takes nearly its language's threshold, and the more documents it has, the nearer is its own."""
+    rows = [("en", "big", 0.0)] * 9000 + [("en", "few", 1.0)] * 1 + [("en", "more", 1.0)] * 100 + [("en", "most", 1.0)] * 1000
+    found = spark.createDataFrame([(lang, s, x, x, x, x) for lang, s, x in rows], "lang STRING, source STRING, " + ", ".join(f"{r} DOUBLE" for r in rules.RATIOS))
+    got = {r["source"]: r["symbol_ratio"] for r in rules.thresholds(found).collect()}
+    assert got["big"] < got["few"] + 1e-9 < got["more"] < got["most"] and got["few"] < 0.12
+
+
+def test_columns_with_dots(docs):
+    from pyspark.sql import functions as F
+
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("n_words", F.lit("x"))
+    assert rules.filter_documents(odd).columns == odd.columns
+
+
 def test_no_python(docs):
     plan = rules.measured(docs, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

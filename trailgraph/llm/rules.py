@@ -1,8 +1,9 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each document gets counts (words, their characters, symbols, repeated lines, words in repeated windows) and ratios of
-them. KLL sketches per language and source give the quartiles of each ratio; a group too small for its own thresholds
-takes those of its language's merged sketch. A ratio fails where it lies far above its group's upper quartile.
+them. KLL sketches per language and source give the quartiles of each ratio, and merged those per language. A group's
+threshold is the mean of its own and its language's, weighted by its documents against a fixed number, so that small groups
+lean on their language and no size is a switch. A ratio fails where it lies far above its group's upper quartile.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ RATIOS = {"symbol_ratio": 0.02, "repeat_ratio": 0.1, "dup_line_ratio": 0.15, "me
 #: Spreads above the upper quartile at which a ratio fails.
 FENCE = 3.0
 
-#: Documents that a language and source need for thresholds of their own.
-LEAST_DOCS = 200
+#: Documents that a language's threshold counts as, against those of a language and source.
+PRIOR_DOCS = 20
 
 #: Rows of the threshold table up to which it is broadcast; beyond, the join is by shuffle. A row has about 100 bytes.
 BROADCAST_ROWS = 20_000
@@ -61,7 +62,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
 def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The columns `carry` as a struct named row, lang, source, the counts and the ratios of each document."""
-    docs = docs.select(F.struct(*carry).alias("row"), "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
     symbols = sum((F.octet_length("text") - F.octet_length(F.replace("text", F.lit(s))) for s in SYMBOLS), F.lit(0))
     docs = docs.withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
@@ -81,20 +82,19 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     )
 
 
-def thresholds(found: DataFrame, fence: float = FENCE, least_docs: int = LEAST_DOCS) -> DataFrame:
+def thresholds(found: DataFrame, fence: float = FENCE, prior_docs: int = PRIOR_DOCS) -> DataFrame:
     """The upper thresholds of each ratio per lang and source, from quantile sketches."""
     own = found.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r).alias(r) for r in RATIOS])
-    own = stored(own, "sketches")
+    own = stored(own, "sketches", even=True)
     whole = own.groupBy("lang").agg(*[F.kll_merge_agg_double(r).alias(r) for r in RATIOS])
-    small = F.col("a.n") < least_docs
-    both = own.alias("a").join(whole.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")))
-    both = both.select("a.lang", "a.source", *[F.when(small, F.col(f"b.{r}")).otherwise(F.col(f"a.{r}")).alias(r) for r in RATIOS])
     quarter = lambda r, q: F.kll_sketch_get_quantile_double(r, F.lit(q))
     limit = lambda r, spread: quarter(r, 0.75) + F.lit(fence) * F.greatest(quarter(r, 0.75) - quarter(r, 0.25), F.lit(spread))
-    return both.select("lang", "source", *[limit(r, spread).alias(r) for r, spread in RATIOS.items()])
+    both = own.alias("a").join(whole.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")))
+    mean = lambda r, spread: (F.col("n") * limit(F.col(f"a.{r}"), spread) + prior_docs * limit(F.col(f"b.{r}"), spread)) / (F.col("n") + prior_docs)
+    return both.select("a.lang", "a.source", *[mean(r, spread).alias(r) for r, spread in RATIOS.items()])
 
 
-def judge(docs: DataFrame, carry: list[str] | None = None, fence: float = FENCE, least_docs: int = LEAST_DOCS) -> DataFrame:
+def judge(docs: DataFrame, carry: list[str] | None = None, fence: float = FENCE, prior_docs: int = PRIOR_DOCS) -> DataFrame:
     """Judges docs (text, lang, source and the columns `carry`, all by default).
 
     Returns row (a struct of `carry`), the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, then
@@ -102,7 +102,7 @@ def judge(docs: DataFrame, carry: list[str] | None = None, fence: float = FENCE,
     Repeated rows are judged each; an empty table gives no rows; column names in docs can't clash with those made here.
     """
     found = stored(measured(docs, carry or docs.columns), "measured")
-    limits = stored(thresholds(found, fence, least_docs), "thresholds")
+    limits = stored(thresholds(found, fence, prior_docs), "thresholds", even=True)
     if limits.count() <= BROADCAST_ROWS:
         limits = F.broadcast(limits)
     a, b = found.alias("a"), limits.alias("b")
