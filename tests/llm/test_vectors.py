@@ -7,6 +7,7 @@ def brute(rows, threshold=0.95):
     good = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]
     size = max((len(v) for _, v in good), default=1)
     x = np.array([np.pad(v, (0, size - len(v))) for _, v in good]).reshape(-1, size)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = x @ x.T >= threshold
     np.fill_diagonal(near, False)
@@ -20,8 +21,8 @@ def brute(rows, threshold=0.95):
     return out | {i: (0, i) for i, _ in rows if i not in out}
 
 
-def check(spark, rows, **kw):
-    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>")
+def check(spark, rows, kind="FLOAT", **kw):
+    df = spark.createDataFrame(rows, f"vec_id BIGINT, embedding ARRAY<{kind}>")
     want = brute([(r["vec_id"], r["embedding"]) for r in df.collect()])
     out = vectors.near(df, **kw).collect()
     assert len(out) == len(rows)
@@ -54,3 +55,12 @@ def test_pruned_tiles_equal_the_product():
 def test_empty(spark):
     empty = spark.createDataFrame([], "vec_id BIGINT, embedding ARRAY<FLOAT>")
     assert vectors.near(empty).count() == 0
+
+
+def test_the_smallest_and_largest_numbers(spark):
+    """Norms that would under- or overflow change neither their own links nor those of others."""
+    rows = [(1, [1.0, 0.0]), (2, [0.99, 0.1]), (3, [1e-200, 1e-200]), (4, [1e200, 1e200]), (5, [5e-324, 5e-324]), (6, [1.7e308, 1.7e308]), (7, [1.7e308, 5e-324]), (8, [0.0, -1e-320])]
+    check(spark, rows, "DOUBLE")
+    check(spark, rows, "DOUBLE", block=2)
+    links = {r["vec_id"]: r["n_links"] for r in vectors.near(spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")).collect()}
+    assert links == {1: 2, 2: 2, 3: 3, 4: 3, 5: 3, 6: 3, 7: 2, 8: 0}
