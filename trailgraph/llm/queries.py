@@ -46,7 +46,7 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages"))
-    return out.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    return out.select(F.expr("try_cast(page_id AS BIGINT)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("try_cast(refers_to AS BIGINT)").alias("refers_to"))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
