@@ -32,6 +32,61 @@ def test_ranking_odd(odd, none, spark):
         assert {r["predicted"] for r in ranking.classify(odd, one).collect()} == {quality}
 
 
+def test_scores_match_plain_arithmetic(spark, docs):
+    """The score of each document is the logistic function of its features' weighted sum over the threshold."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    weights, threshold = ranking.train(ranking.featured(docs), labels)
+    got = {r["doc_id"]: r["score"] for r in ranking.classify(docs, labels).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        x = np.array([*ranking.features(r["text"]), *ranking.trigram_shares(r["text"])], np.float32).astype(float)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(np.clip(threshold - x @ weights, -700, 700))), abs=1e-9)
+
+
+def test_trigrams_teach_what_no_count_shows():
+    """Two kinds of texts that agree in all counts of form are told apart by their letters."""
+    rng = np.random.default_rng(9)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(60))
+    texts, y = [text("abcde" if k % 2 else "fghij") for k in range(200)], np.arange(200) % 2
+    x = np.array([[*ranking.features(t), *ranking.trigram_shares(t)] for t in texts])
+    w, t = ranking.fit(x[:120], y[:120])
+    assert ((x[120:] @ w >= t) == y[120:]).mean() > 0.95
+    assert ranking.trigram_shares(None).sum() == 0 and ranking.trigram_shares("abC" * 9).sum() == pytest.approx(1)
+
+
+def test_repeated_labels_count_once(spark, docs):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    again = labels.union(labels).union(labels.limit(1).selectExpr("doc_id", *[f"1 - {c} AS {c}" if c == "quality" else c for c in labels.columns[1:]]))
+    found = ranking.featured(docs)
+    one = labels.join(labels.limit(1).select("doc_id"), "doc_id", "left_anti")
+    assert ranking.train(found, again)[1] == ranking.train(found.union(found), one)[1]
+
+
+def brute_language(text, learned):
+    """The language of greatest cosine, each trigram of letters bound alone."""
+    total = np.zeros(langid.DIMENSIONS)
+    low, edge = f" {text.lower()} ", [0]
+    for c in low:
+        slot = 1 + ord(c) % (langid.SLOTS - 1) if c.isalpha() else 0
+        if slot or edge[-1]:
+            edge.append(slot)
+    base = np.random.default_rng(langid.SEED).integers(0, 2, (langid.SLOTS, langid.DIMENSIONS)) * 2.0 - 1
+    for a, b, c in zip(edge, edge[1:], edge[2:], strict=False):
+        total += np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
+    if not total.any():
+        return "und", 0.0
+    cosines = {k: total @ v / np.linalg.norm(total) for k, v in learned.items()}
+    best = max(sorted(cosines), key=cosines.get)
+    return best, max(0.0, cosines[best])
+
+
+def test_languages_match_plain_binding(odd, docs):
+    learned = langid.prototypes(docs)
+    rows = docs.limit(25).union(odd.select(docs.columns[:4]).where("doc_id <> 7 OR doc_id IS NULL").selectExpr("*", "0L AS n_chars"))
+    for r in langid.predict(rows, learned, ["doc_id", "text"]).collect():
+        lang, score = brute_language(r["text"] or "", learned)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-4)
+
+
 def test_languages_of_held_out_documents(docs, spark):
     learned = langid.prototypes(docs.where(~held_out(docs.doc_id, 4, 2)))
     out = langid.predict(docs.where(held_out(docs.doc_id, 4, 2)), learned, ["doc_id", "lang"]).toPandas()
