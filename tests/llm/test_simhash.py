@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from corpus_pipeline import near_duplicates
@@ -56,7 +57,7 @@ def test_odd(odd, none):
     check(odd)
     assert simhash.similar(none).count() == 0
     kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 7, 8, 9]
+    assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 7, 8, 9, None]
 
 
 def test_pairs_at_every_distance(spark):
@@ -140,4 +141,17 @@ def test_alike_is_of_sets_of_shingles(spark, odd, none):
     assert out == {0: 0, 1: 1, 2: 2, 3: 2, **{10 + k: 10 for k in range(6)}}
     assert simhash.alike(none).count() == 0 and simhash.alike(odd).count() == odd.count()
     kept = simhash.one_of_each(odd, simhash.alike)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 7, 8, 9]
+    assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 7, 8, 9, None]
+
+
+@pytest.mark.parametrize("kind", ["BIGINT", "STRING"])
+def test_documents_without_id_are_kept_once(spark, kind, monkeypatch):
+    """Alone they stay; with a group's document that has an id they go; of one text without any id one stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [("5", a), (None, a), (None, a + " more"), (None, b), (None, b), (None, c), ("7", c[:-4] + "zz"), ("9", "x"), ("9", "y z"), ("9", "x"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id STRING, text STRING").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text")
+    for most in (simhash.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_KEYS", most)
+        kept = simhash.one_of_each(docs, simhash.alike)
+        got = sorted(((str(r["doc_id"]), (r["text"] or "")[:3]) for r in kept.collect()))
+        assert got == [("5", "a0 "), ("7", "c0 "), ("9", "x"), ("None", ""), ("None", "b0 ")]

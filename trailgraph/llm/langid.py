@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import Carried
+from trailgraph.llm.common import Carried, ship
 
 #: Letter slots (a power of two; slot 0 is the edge of a word) and dimensions of vectors.
 SLOTS = 1024
@@ -84,6 +84,8 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS, seed: int = SE
     so the order of adding does not matter.
     """
 
+    ship(labelled.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -111,6 +113,7 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], carry: list[str], d
     Null texts, texts without a letter, and all texts if nothing was learned are und with score 0. Ties go to the first
     language by name; repeated rows are predicted each; an empty table gives no rows; a carried column of a new name gives way.
     """
+    ship(docs.sparkSession)
     names = list(learned)
     protos = np.array([learned[k] for k in names], np.float32).reshape(len(names), dimensions)
 

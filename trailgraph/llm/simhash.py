@@ -21,10 +21,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import Carried, stored
+from trailgraph.llm.common import WHOLE, Carried, ship, stored
 from trailgraph.llm.components import connected, forest
 
 SEED = 42
@@ -175,9 +175,10 @@ def similar(docs: DataFrame, shingle: int = 3, parts: int = 1, segment_count: in
 
     Two documents are linked if their fingerprints of 64 * parts bits differ in at most `distance` bits. All such links count
     if segment_count > distance; else those that share a segment. Null and empty texts have the fingerprint zero and are
-    linked with each other. Rows of one doc_id are one document. A null doc_id gets its fingerprint's component. An empty
-    table gives no rows; other columns are ignored.
+    linked with each other. Rows of one doc_id that have different fingerprints are grouped each by its own. A null doc_id gets
+    its fingerprint's component, null if no id has it. An empty table gives no rows; other columns are ignored.
     """
+    ship(docs.sparkSession)
     found = fingerprinted(docs, shingle, parts)
     names, ring = [f"f{k}" for k in range(parts)], segments(parts, segment_count)
     chain = len(ring) if chain is None else chain
@@ -272,6 +273,7 @@ def alike(docs: DataFrame, shingle: int = 5, jaccard: float = 0.8, parts: int =
     one candidate, then only the pairs that the links so far don't join, so a large group costs few comparisons of sets.
     component_id is the smallest doc_id that links reach; doc_ids and texts are treated as similar() does.
     """
+    ship(docs.sparkSession)
     found = stored(shingled(docs, shingle, parts), "fingerprints")
     names, tables = [f"f{k}" for k in range(parts)], byte_pairs(parts)
     classes = stored(found.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in names]).where("rep IS NOT NULL"), "classes")
@@ -290,8 +292,12 @@ def alike(docs: DataFrame, shingle: int = 5, jaccard: float = 0.8, parts: int =
     shuffled = dealt.repartition("key").sortWithinPartitions("key")
     pairs = shuffled.mapInPandas(by_group(links), f"a {kind}, b {kind}").where("a <> b")
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stored(shingled(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").distinct(), shingle), "sets")
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids", even=True)
+    some = ids.count()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if some <= BROADCAST_KEYS else ids, "doc_id", "left_semi")
+    if not found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        texts = texts.distinct()
+    sets = stored(shingled(texts, shingle), "sets")
 
     linked = agreed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, jaccard)
     component = connected(linked)
@@ -302,11 +308,39 @@ def alike(docs: DataFrame, shingle: int = 5, jaccard: float = 0.8, parts: int =
     return found.join(classes, ["d0", "d1"], "left").select("doc_id", "component_id")
 
 
+def keyed(docs: DataFrame) -> Column:
+    """A key per document that sorts as doc_id does, as whole number or text; rows without an id get one by their text, after all ids."""
+    whole = dict(docs.dtypes)["doc_id"] in WHOLE
+    text = F.coalesce("text", F.lit(""))
+    if whole:
+        return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64(text), 3) + F.lit(NO_ID))
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("\U0010ffff"), F.sha2(F.encode(text, "utf-8"), 256)))
+
+
+#: From here on keys are those of documents without an id.
+NO_ID = 3 << 61
+#: Documents to leave out up to which their keys are broadcast, at about 50 bytes each; beyond, the join is by shuffle.
+BROADCAST_KEYS = 500_000
+
+
 def one_of_each(docs: DataFrame, groups: Callable[..., DataFrame] = similar, **kw) -> DataFrame:
-    """The documents with their own columns, but one of each group: that with the smallest doc_id. Repeated rows stay once.
+    """The documents with their own columns, but one of each group: that with the smallest doc_id.
 
-    Documents with a null doc_id are left out, also those that nothing resembles.
+    Rows without a doc_id take part by their texts: the group's other documents are preferred to them, and of those with the
+    same text one stays. Of rows of one doc_id that stays, the one with the smallest text stays; null is as empty, and the smallest.
+    An empty table gives no rows.
     """
-    kept = groups(docs, **kw).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = stored(kept, "kept")
-    return docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates()
+    ship(docs.sparkSession)
+    both = docs.select(keyed(docs).alias("doc_id"), "text")
+    found = stored(groups(both, **kw), "grouped")
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__key")).distinct(), "gone", even=True)
+    again = stored(found.groupBy(F.col("doc_id").alias("__key")).agg(F.count("*").alias("n")).where("n > 1").select("__key"), "again", even=True)
+    few = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", keyed(docs).alias("__key"))
+    rows = rows.join(few(gone), "__key", "left_anti")
+    if again.isEmpty():
+        return rows.select("row.*")
+    some = few(again)
+    one = rows.join(some, "__key", "left_semi").groupBy("__key").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    return rows.join(some, "__key", "left_anti").select("row.*").union(one.select("row.*"))
