@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import stored
+from trailgraph.llm.common import ship, stored
 
 #: Words in each of the two generations that a Python worker remembers, also from task to task. When the young one is full, the
 #: old one goes and words that are met again move on. Only speed depends on it.
@@ -34,8 +34,8 @@ REMEMBERED_WORDS = 250_000
 #: Texts whose words are looked up together.
 TEXTS_AT_ONCE = 2048
 
-#: Pieces of one length that a single sort may rank; more are dealt over several.
-RANKED_TOGETHER = 100_000
+#: Pieces of one length that a single sort ranks, about; more are dealt over several.
+RANKED_TOGETHER = 1024
 
 
 class CapacityTree:
@@ -237,6 +237,7 @@ def pack(docs: DataFrame, tokenizer_json: str, window: int = 4096, end_id: int =
     own; a null doc_id is kept; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     word_codes(tokenizer_json)  # refuses vocabularies that can't be encoded word by word
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
@@ -248,8 +249,8 @@ def pack(docs: DataFrame, tokenizer_json: str, window: int = 4096, end_id: int =
     columns = spark.sparkContext.broadcast(np.array(plan, dtype=np.int64).reshape(-1, 6))  # bounded by the window length
 
     # The rank among the pieces of a length: those before in lower buckets, and the place in the own bucket.
-    buckets = max(1, -(-max(counts.values(), default=1) // RANKED_TOGETHER))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    parts = spark.createDataFrame([(n, -(-k // RANKED_TOGETHER)) for n, k in counts.items()], "length long, buckets long")
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "buckets"))
     before = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = before.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     ranked = dealt.join(before, ["length", "bucket"])
