@@ -41,34 +41,50 @@ def stored(df: DataFrame, name: str, rows: int | None = None, even: bool = False
         df = df.hint("rebalance")
     if rows is not None:
         df = df.coalesce(1 + rows // ROWS_PER_TASK)
+    return df.sparkSession.read.schema(df.schema).parquet(_write(df, name))
+
+
+def _write(df: DataFrame, name: str) -> str:
     path = f"{shared_dir(df.sparkSession)}/{TABLES}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
 
 
 #: Folder of the stored tables inside the shared folder.
 TABLES = "tables"
 
 
-def forget(spark: SparkSession) -> None:
-    """Removes all stored tables of the shared folder, once no result is to be read from them any more."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{TABLES}")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    _kept.clear()
-
-
-_kept: dict[tuple[str, ...], DataFrame] = {}
-
-
-def stored_once(spark: SparkSession, key: tuple[str, ...], make: Callable[[], DataFrame]) -> DataFrame:
-    """stored(make()), made once a session and key: for tables derived from others that don't change meanwhile."""
-    key = (spark.sparkContext.applicationId, shared_dir(spark), *key)
-    if key not in _kept:
-        _kept[key] = stored(make(), key[-1])
-    return _kept[key]
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def forget(spark: SparkSession) -> None:
+    """Removes all stored tables of the shared folder, once no result is to be read from them any more."""
+    files, where = _files(spark, f"{shared_dir(spark)}/{TABLES}")
+    files.delete(where, True)
+
+
+def stored_once(spark: SparkSession, key: tuple[str, ...], inputs: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """stored(make()), made once a session for a key, as long as the files of the paths `inputs` and the stored table stay."""
+    found = []
+    for path in inputs:
+        files, where = _files(spark, path)
+        found += [f"{x.getPath()}:{x.getLen()}:{x.getModificationTime()}" for x in files.listStatus(where)]
+    full = (spark.sparkContext.applicationId, shared_dir(spark), *key, *found)
+    if full in _kept:
+        path, schema = _kept[full]
+        files, where = _files(spark, path)
+        if files.exists(where):
+            return spark.read.schema(schema).parquet(path)
+    out = make()
+    path = _write(out, key[-1])
+    _kept[full] = path, out.schema
+    return spark.read.schema(out.schema).parquet(path)
+
+
+_kept: dict[tuple[str, ...], tuple] = {}
 _shipped: set[str] = set()
 
 
