@@ -1,6 +1,7 @@
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -70,3 +71,29 @@ def test_anchors_own_every_window_once(monkeypatch):
 def test_prefix_intervals():
     texts = sorted([b"abc", b"abd", b"ab", b"b", b"abcx"])
     assert set(substrings.prefix_intervals(texts)) == {(3, 1, 3), (2, 0, 4)}
+
+
+def maximal(bucket, length):
+    """All (left, right, members) whose members share that much on both sides of the anchor and not a byte more on either."""
+    out = set()
+    for left in {substrings.common(a[0], b[0]) for a, b in combinations(bucket, 2)}:
+        for right in {substrings.common(a[1], b[1]) for a, b in combinations(bucket, 2)}:
+            groups = defaultdict(list)
+            for i, (before, after) in enumerate(bucket):
+                if len(before) >= left and len(after) >= right:
+                    groups[before[:left], after[:right]].append(i)
+            for own in groups.values():
+                shared = [min(substrings.common(bucket[a][k], bucket[b][k]) for a, b in combinations(own, 2)) for k in (0, 1)] if len(own) > 1 else []
+                if left + right >= length and shared == [left, right]:
+                    out.add((left, right, tuple(own)))
+    return out
+
+
+def test_groups_are_all_maximal_repeats():
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("ab") for _ in range(rng.randint(0, n))).encode()
+    for _ in range(400):
+        bucket = [(some(6), b"x" + some(6)) for _ in range(rng.randint(2, 9))]
+        for length in (1, 4, 7):
+            got = [(left, right, tuple(sorted(own))) for left, right, own in substrings.repeat_groups(bucket, length)]
+            assert len(got) == len(set(got)) and set(got) == maximal(bucket, length)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import Carried, press, stored
+from trailgraph.llm.common import Carried, press, ship, stored
 
 LENGTH = 200
 #: Bytes of an anchor. Longer ones meet fewer buckets by chance; shorter ones make fewer anchors.
@@ -116,8 +116,34 @@ def prefix_intervals(texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
             stack.append((shared, first))
 
 
+def repeat_groups(bucket: list[tuple[bytes, bytes]], length: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
+    """The maximal repeats of a bucket that are at least `length` long: (bytes before the anchor, bytes from it on, all members).
+
+    bucket: (text before the anchor, backwards; text from it on). Each interval of the texts from the anchor on shares a prefix;
+    inside, the same tree over the texts before the anchor holds the groups whose left extensions part, so none can grow to the
+    left. One that could grow to the right, as all of it lies in an inner interval, is told there. Inner groups come first.
+    """
+    order = sorted(range(len(bucket)), key=lambda i: bucket[i][1])
+    place = {i: k for k, i in enumerate(order)}
+    after = [common(bucket[a][1], bucket[b][1]) for a, b in zip(order, order[1:], strict=False)]
+    for right, first, end in prefix_intervals([bucket[i][1] for i in order]):
+        members = sorted(order[first:end], key=lambda i: bucket[i][0])
+        for left, a, b in prefix_intervals([bucket[i][0] for i in members]):
+            if left + right < length:
+                continue  # left extensions part too soon
+            group = members[a:b]
+            inside = sorted(place[i] for i in group)
+            if min(after[inside[0] : inside[-1]]) == right:
+                yield left, right, group
+        if right >= length and len(members) > 1 and not common(bucket[members[0]][0], bucket[members[-1]][0]):
+            yield 0, right, members  # nothing before the anchor is shared by all
+
+
 def repeated_windows(bucket: list[tuple[bytes, bytes]], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each (text before the anchor, backwards; text from it on): (most, least) bytes before the anchor of repeated windows."""
+    """For each (text before the anchor, backwards; text from it on): (most, least) bytes before the anchor of repeated windows.
+
+    A member's windows of all its groups are joined where they touch, so that nested groups make no more rows than one.
+    """
     out: list[list[tuple[int, int]]] = [[] for _ in bucket]
     if len(bucket) == 2:
         left, right = common(bucket[0][0], bucket[1][0]), common(bucket[0][1], bucket[1][1])
@@ -125,17 +151,11 @@ def repeated_windows(bucket: list[tuple[bytes, bytes]], length: int = LENGTH) ->
             out[0].append((left, length - right))
             out[1].append((left, length - right))
         return out
-    order = sorted(range(len(bucket)), key=lambda i: bucket[i][1])
-    for right, first, end in prefix_intervals([bucket[i][1] for i in order]):
-        members = sorted(order[first:end], key=lambda i: bucket[i][0])
-        shared = [0, *(common(bucket[a][0], bucket[b][0]) for a, b in zip(members, members[1:], strict=False)), 0]
-        if max(shared) + right < length:
-            continue  # left extensions part too soon
-        for k, i in enumerate(members):
-            left = max(shared[k], shared[k + 1])
-            if left + right >= length:
+    for left, right, group in repeat_groups(bucket, length):
+        for i in group:
+            if not out[i] or out[i][-1] != (left, length - right):
                 out[i].append((left, length - right))
-    return out
+    return [[(end - 1, least) for least, end in merged([(least, most + 1) for most, least in windows])] if len(windows) > 1 else windows for windows in out]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -168,12 +188,13 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 same += [digest(data[a:b], seed=k) for a, b, k in zip(low.tolist(), (high + LENGTH).tolist(), (place - low).tolist(), strict=True)]
             h, place, most, least = (np.concatenate(x) for x in zip(*found, strict=True))
             h, same_ = h.view(np.int64), np.array(same, np.uint64).view(np.int64)
-            rk = np.repeat(np.array([r for r, _ in rks], np.int64), [n for _, n in rks])
+            rk = np.repeat(np.array([r for r, _ in rks], object), [n for _, n in rks])
+            dealt = np.repeat(np.array([int.from_bytes(r[:8], "little", signed=True) for r, _ in rks], np.int64), [n for _, n in rks])
             order = np.lexsort((same_, h))
             again = np.concatenate([[False], (h[order][1:] == h[order][:-1]) & (same_[order][1:] == same_[order][:-1])])[: len(h)]
             m = np.where(again, 0, 1)
             m[:-1][again[1:] & ~again[:-1]] = 2
-            yield pd.DataFrame({"key": np.where(again, rk[order], h[order]), "same": same_[order], "rk": rk[order], "place": place[order], "most": most[order].astype(np.int16), "least": least[order].astype(np.int16), "m": m.astype(np.int8)})
+            yield pd.DataFrame({"key": np.where(again, dealt[order], h[order]), "same": same_[order], "rk": rk[order], "place": place[order], "most": most[order].astype(np.int16), "least": least[order].astype(np.int16), "m": m.astype(np.int8)})
 
 
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,13 +320,13 @@ def repeats(texts: DataFrame) -> DataFrame:
 
     rk names a row; rows that share it must be copies, and then repeat each other.
     """
-    places = texts.mapInPandas(_anchors, "key long, same long, rk long, place long, most short, least short, m byte")
+    places = texts.mapInPandas(_anchors, "key long, same long, rk binary, place long, most short, least short, m byte")
     places = places.repartition("key").sortWithinPartitions("key", "same")
-    found = stored(places.mapInPandas(_classes, "h long, rk long, place long, most short, least short, m byte"), "places")
+    found = stored(places.mapInPandas(_classes, "h long, rk binary, place long, most short, least short, m byte"), "places", even=True)
     out = found.where("m = 0").select("rk", (F.col("place") - F.col("most")).alias("a"), (F.col("place") - F.col("least")).alias("b"))
 
     ones = found.where("m > 0")
-    sizes = stored(ones.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select(F.col("h").alias("of"), "n"), "sizes")
+    sizes = stored(ones.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select(F.col("h").alias("of"), "n"), "sizes", even=True)
     some, count = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if some:
         large = F.broadcast(sizes.select("of")) if some <= BROADCAST_ROWS else sizes.select("of")
@@ -313,16 +334,16 @@ def repeats(texts: DataFrame) -> DataFrame:
     else:
         ones = ones.withColumn("large", F.lit(False))
     own = ones.groupBy("rk").agg(F.collect_set(F.struct("h", "place", "most", "least", "m", "large")).alias("found"))  # at most a text's anchors
-    pressed = texts.mapInPandas(press, "rk long, z binary")
-    contexts = pressed.join(own, "rk").mapInPandas(_contexts, "h long, rk long, place long, most int, least int, m int, large boolean, context binary")
+    pressed = texts.mapInPandas(press, "rk binary, z binary")
+    contexts = pressed.join(own, "rk").mapInPandas(_contexts, "h long, rk binary, place long, most int, least int, m int, large boolean, context binary")
     if some:
-        contexts = stored(contexts, "contexts")
+        contexts = stored(contexts, "contexts", even=True)
     small = contexts.where("NOT large").select("h", "rk", "place", "most", "context")
     if some:
         more, few = _parted(contexts.where("large").drop("large"), count)
         out, small = out.unionByName(more), small.unionByName(few)
     small = small.repartition("h").sortWithinPartitions("h")
-    return out.unionByName(small.mapInPandas(_bucketed, "rk long, a long, b long"))
+    return out.unionByName(small.mapInPandas(_bucketed, "rk binary, a long, b long"))
 
 
 def remove(docs: DataFrame, carry: list[str], with_text: bool = True) -> DataFrame:
@@ -332,12 +353,14 @@ def remove(docs: DataFrame, carry: list[str], with_text: bool = True) -> DataFra
     and, if with_text, kept (the other bytes in order). Null and empty texts have no bytes; texts under 200 bytes lose none;
     repeated rows are copies of each other and lose all; an empty table gives no rows; a carried column of a new name gives way.
     """
+    ship(docs.sparkSession)
     carried, new = Carried(docs, carry), ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     docs = docs.select(*carried.columns(), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("rk", F.xxhash64(*docs.columns))
+    wide = lambda *seed: F.lpad(F.hex(F.xxhash64(*seed, *docs.columns)), 16, "0")
+    docs = docs.withColumn("rk", F.unhex(F.concat(wide(), wide(F.lit(1)))))
     spans = repeats(docs.where(F.octet_length("text") >= LENGTH).select("rk", "text")).groupBy("rk").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     schema = ", ".join([carried.schema()] * bool(carry))
-    pressed = docs.mapInPandas(press, schema + ", " * bool(carry) + "rk long, z binary")
+    pressed = docs.mapInPandas(press, schema + ", " * bool(carry) + "rk binary, z binary")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
