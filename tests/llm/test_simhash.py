@@ -155,3 +155,42 @@ def test_documents_without_id_are_kept_once(spark, kind, monkeypatch):
         kept = simhash.one_of_each(docs, simhash.alike)
         got = sorted(((str(r["doc_id"]), (r["text"] or "")[:3]) for r in kept.collect()))
         assert got == [("5", "a0 "), ("7", "c0 "), ("9", "x"), ("None", ""), ("None", "b0 ")]
+
+
+def test_sets_are_compared_exactly():
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        sets = [np.unique(rng.integers(0, 12, rng.integers(0, 9))) for _ in range(rng.integers(1, 9))]
+        before = np.arange(len(sets))
+        if len(sets) > 2:
+            before[2] = before[1]
+        got = simhash.similar_sets(sets, before.copy(), 0.5)
+        label = before.copy()
+        for _ in sets:
+            for i, x in enumerate(sets):
+                for j, y in enumerate(sets):
+                    both = len(np.intersect1d(x, y))
+                    if len(x) and len(y) and both >= 0.5 * (len(x) + len(y) - both) or before[i] == before[j]:
+                        label[i] = label[j] = min(label[i], label[j])
+        assert ((got[:, None] == got[None]) == (label[:, None] == label[None])).all()
+
+
+@pytest.mark.parametrize("sets_tile", [256, 4])
+def test_large_groups_of_near_copies_around_one(spark, sets_tile):
+    """Copies that are like their original only, whatever its id, become one group, without pairs of copies; a chain too."""
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(300)]
+
+    def copy(spoilt):
+        own = words.copy()
+        for at in rng.choice(60, spoilt, replace=False):
+            own[5 * at] = f"n{rng.integers(1 << 40)}"
+        return " ".join(own)
+
+    rows = [(k, copy(6)) for k in range(60)] + [(60, " ".join(words))] + [(100 + k, f"other text number {k} of {rng.integers(1 << 40)} and on") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    sets = {i: shingle_sets(t) for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert sum(like(60, k) for k in range(60)) == 60 and not all(like(0, k) for k in range(60))
+    out = {r["doc_id"]: r["component_id"] for r in simhash.alike(df, sets_tile=sets_tile).collect()}
+    assert out == {**{k: 0 for k in range(61)}, **{100 + k: 100 + k for k in range(20)}}

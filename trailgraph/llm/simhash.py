@@ -9,8 +9,8 @@ Equal fingerprints are one class from the start. A bucket of fingerprints that s
 with more than a tile of members is dealt over all pairs of its tiles, so no task gathers it. A task returns a spanning
 forest of the links that it finds, not the links.
 
-alike() takes fingerprints for candidates only: pairs of documents near enough in them are accepted by the exact Jaccard
-similarity of their sets of shingles.
+alike() takes fingerprints for candidates only: what they bring together is linked by the exact Jaccard similarity of sets of
+shingles.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SEED = 42
 
 #: Members of a bucket that one group compares; larger buckets are dealt over pairs of tiles.
 TILE = 2048
+#: Sets of shingles that one group compares; larger groups are dealt over pairs of tiles.
+SETS_TILE = 256
 #: Rows of the table of large buckets up to which it is broadcast.
 BROADCAST_ROWS = 20_000
 #: Hashes whose bits are counted at once.
@@ -210,25 +212,6 @@ def byte_pairs(parts: int) -> np.ndarray:
     return np.array([(b, b ^ step) for step in STEPS for b in range(8 * parts) if b < b ^ step])
 
 
-def near(group: np.ndarray, own: np.ndarray, prints: np.ndarray, pairs: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of one group (sorted) that differ in at most `distance` bits, a pair only in the first table that holds it."""
-    n, found = len(group), [(np.empty(0, int), np.empty(0, int))]
-    at = np.arange(n)
-    for gap in range(1, n):
-        at = at[at < n - gap]
-        at = at[group[at] == group[at + gap]]
-        if not len(at):
-            break
-        for k in range(0, len(at), 1 << 18):
-            some = at[k : k + (1 << 18)]
-            diff = prints[some] ^ prints[some + gap]
-            hit = np.bitwise_count(diff).sum(axis=1) <= distance
-            some, same = some[hit], diff[hit].astype("<u8").view(np.uint8).reshape(-1, 8 * prints.shape[1]) == 0
-            some = some[(same[:, pairs[:, 0]] & same[:, pairs[:, 1]]).argmax(axis=1) == own[some]]
-            found.append((some, some + gap))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
 def shingled(docs: DataFrame, shingle: int, parts: int = 0) -> DataFrame:
     """doc_id with h, its sorted set of shingles' hashes (without parts), or d0 and d1, a digest of that set, and f0, f1, ..."""
     names = ["d0", "d1", *(f"f{k}" for k in range(parts))]
@@ -265,45 +248,87 @@ def agreed(pairs: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
     return stored(both.mapInPandas(run, f"a {kind}, b {kind}"), "agreed")
 
 
-def alike(docs: DataFrame, shingle: int = 5, jaccard: float = 0.8, parts: int = 8, distance: int = 120, tile: int = TILE) -> DataFrame:
+def similar_sets(sets: list[np.ndarray], root: np.ndarray, jaccard: float) -> np.ndarray:
+    """The root of each set (sorted, without repeats) once those of at least that Jaccard similarity share theirs.
+
+    One set at a time is held against all after it, by marking its hashes among all; pairs that share a root already don't count.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    some = np.flatnonzero(size)
+    if len(some) < 2:
+        return root
+    codes = np.unique(np.concatenate([sets[i] for i in some]), return_inverse=True)[1]
+    n = size[some]
+    edges = np.concatenate([[0], np.cumsum(n)])
+    marked = np.zeros(int(codes.max()) + 1, bool)
+    for k in range(len(some) - 1):
+        own = codes[edges[k] : edges[k + 1]]
+        marked[own] = True
+        shared = np.add.reduceat(marked[codes[edges[k + 1] :]], edges[k + 1 : -1] - edges[k + 1], dtype=np.int64)
+        marked[own] = False
+        hit = some[k + 1 :][(shared >= jaccard * (n[k] + n[k + 1 :] - shared)) & (root[some[k + 1 :]] != root[some[k]])]
+        if len(hit):
+            root = forest(np.concatenate([np.arange(len(root)), np.full(len(hit), some[k])]), np.concatenate([root, hit]), len(root))
+    return root
+
+
+def alike(docs: DataFrame, shingle: int = 5, jaccard: float = 0.8, parts: int = 8, distance: int = 120, chain: int = 3, tile: int = TILE, sets_tile: int = SETS_TILE) -> DataFrame:
     """Groups docs (doc_id, text) by exact Jaccard similarity of their sets of shingles: returns doc_id and component_id.
 
-    Equal sets are one class. Candidates are classes that share a pair of bytes of one of the tables and differ in at most
-    `distance` of 64 * parts bits; a pair is linked if its similarity is at least `jaccard`. First each class is held against
-    one candidate, then only the pairs that the links so far don't join, so a large group costs few comparisons of sets.
+    Equal sets are one class. Classes that share a pair of bytes of one of the tables are compared by their fingerprints of
+    64 * parts bits: those that keep a chain of `chain` bytes' budgets and differ in at most `distance` bits are candidates of
+    each other, and tasks return spanning forests of them. Each class is first held against its candidate component's smallest
+    by their sets. Of components that this leaves in parts, all members' sets are compared, in groups over pairs of tiles, and
+    linked where the similarity is at least `jaccard`; again only forests leave the tasks, so no pairs of a group are emitted.
     component_id is the smallest doc_id that links reach; doc_ids and texts are treated as similar() does.
     """
     ship(docs.sparkSession)
     found = stored(shingled(docs, shingle, parts), "fingerprints")
-    names, tables = [f"f{k}" for k in range(parts)], byte_pairs(parts)
+    names, tables, ring = [f"f{k}" for k in range(parts)], byte_pairs(parts), segments(parts, 8 * parts)
     classes = stored(found.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in names]).where("rep IS NOT NULL"), "classes")
 
     byte = lambda b: F.shiftrightunsigned(F.col(f"f{b // 8}"), int(b % 8 * 8)).bitwiseAND(F.lit(255))
     keys = F.array(*[(byte(a) * 256 + byte(b)) * len(tables) + k for k, (a, b) in enumerate(tables.tolist())])
-    dealt = classes.select("rep", *names, F.posexplode(keys).alias("own", "key"))
-    dealt = dealt_out(dealt.select("rep", *names, F.col("own").cast("short"), "key"), ["rep"], tile)
+    dealt = dealt_out(classes.select("rep", *names, F.explode(keys).alias("key")), ["rep"], tile)
     kind = dict(classes.dtypes)["rep"]
 
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
+    def candidates(rows: pd.DataFrame) -> pd.DataFrame:
         rep = rows["rep"].to_numpy()
-        i, j = near(rows["key"].to_numpy(), rows["own"].to_numpy(), rows[names].to_numpy().view(np.uint64), tables, distance)
-        return pd.DataFrame({"a": rep[i], "b": rep[j]})
+        root = compared(rows["key"].to_numpy(), rows[names].to_numpy().view(np.uint64), ring, distance, chain)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"a": rep[moved], "b": rep[root[moved]]})
 
-    shuffled = dealt.repartition("key").sortWithinPartitions("key")
-    pairs = shuffled.mapInPandas(by_group(links), f"a {kind}, b {kind}").where("a <> b")
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids", even=True)
+    shuffled = dealt.repartition("key").sortWithinPartitions("key", "rep")  # so that roots are the smallest
+    near = stored(connected(shuffled.mapInPandas(by_group(candidates), f"a {kind}, b {kind}")), "candidates", even=True)
+    ids = stored(near.select(F.col("node").alias("doc_id")).union(near.select("component")).distinct(), "ids", even=True)
     some = ids.count()
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if some <= BROADCAST_KEYS else ids, "doc_id", "left_semi")
     if not found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         texts = texts.distinct()
     sets = stored(shingled(texts, shingle), "sets")
 
-    linked = agreed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, jaccard)
-    component = connected(linked)
-    of = lambda end: component.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    rest = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-    component = connected(linked.union(agreed(rest, sets, jaccard)))
+    first = agreed(near.select(F.col("component").alias("a"), F.col("node").alias("b")), sets, jaccard)
+    # Components in parts: the group of each member, and the smallest of what it is linked with so far.
+    open_ = near.join(first.select(F.col("b").alias("node")), "node", "left_anti").select("component").distinct()
+    members = near.union(near.select("component", "component").distinct()).join(open_, "component", "left_semi")
+    members = members.join(first.select(F.col("b").alias("node"), F.col("a").alias("so_far")), "node", "left")
+    members = members.select(F.col("node").alias("doc_id"), F.xxhash64("component").alias("key"), F.coalesce("so_far", "node").alias("so_far"))
+    rows = dealt_out(stored(members, "members", even=True), ["doc_id"], sets_tile).join(sets, "doc_id")
+
+    def links(group: pd.DataFrame) -> pd.DataFrame:
+        ids, out = group["doc_id"].to_numpy(), [(group["doc_id"].iloc[:0].to_numpy(),) * 2]
+        key, so_far, sets = group["key"].to_numpy(), group["so_far"].to_numpy(), group["h"].tolist()
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            start = np.unique(so_far[a:b], return_index=True, return_inverse=True)
+            before = start[1][start[2]]
+            root = similar_sets(sets[a:b], before, jaccard)
+            moved = np.flatnonzero(root != before)
+            out.append((ids[a:b][moved], ids[a:b][root[moved]]))
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
+
+    shuffled = rows.repartition("key").sortWithinPartitions("key")
+    component = connected(first.union(shuffled.mapInPandas(by_group(links), f"a {kind}, b {kind}")))
     classes = classes.join(component, F.col("rep") == F.col("node"), "left").select("d0", "d1", F.coalesce("component", "rep").alias("component_id"))
     return found.join(classes, ["d0", "d1"], "left").select("doc_id", "component_id")
 
