@@ -95,3 +95,33 @@ def test_ancestors_are_distances_of_the_transpose(graph, spark):
     targets = spark.createDataFrame([(3,)], "src BIGINT")
     assert rows(traverse.ancestors(g, targets)) == [(3, 0, 2), (3, 1, 1), (3, 2, 1), (3, 3, 0), (3, 4, 3)]
     assert json.loads(json.dumps(rows(traverse.ancestors(g, targets, include_start=False))))
+
+
+@pytest.mark.parametrize("strategy", ["bits", "frontier"])
+def test_repeated_sources_count_as_often_in_levels(graph, spark, strategy):
+    g = graph(ARCS, 6)
+    draws = spark.createDataFrame([(0,), (0,), (0,), (4,), (5,), (99,), (99,)], "src BIGINT")
+    d = brute.distances(ARCS, [0, 4])
+    want = {}
+    for (s, v), k in d.items():
+        want[v, k] = want.get((v, k), 0) + (3 if s == 0 else 1)
+    assert {(r["node"], r["d"]): r["n"] for r in traverse.node_levels(g, draws, strategy).collect()} == want
+    assert {r["src"]: r["reach"] for r in traverse.bfs_summary(g, draws, strategy).collect()} == {0: 3, 4: 4, 5: 0, 99: 0}
+
+
+def test_more_than_a_word_of_sources_by_joins(spark):
+    arcs = [(i, (i * 7 + 1) % 150) for i in range(150)] + [(i, (i * 3 + 2) % 150) for i in range(0, 150, 2)]
+    g = Graph.of(spark.createDataFrame(arcs, "src BIGINT, dst BIGINT"))
+    assert {(r["src"], r["node"]): r["d"] for r in traverse.hop_distances(g, strategy="frontier", max_depth=4).collect()} == {k: d for k, d in brute.distances(arcs, range(150)).items() if d <= 4}
+
+
+def test_a_long_path_ends(spark):
+    n = 2000
+    g = Graph.of(spark.range(n).selectExpr("id AS src", "id + 1 AS dst"))
+    assert tuple(traverse.bfs_summary(g, spark.createDataFrame([(0,)], "src BIGINT")).first()) == (0, n, n * (n + 1) // 2, n)
+
+
+def test_sources_at_once_follow_from_memory():
+    assert traverse.sources_at_once(1000, 5000) == traverse.SOURCES_AT_ONCE
+    few = traverse.sources_at_once(5_000_000, 5_000_000)
+    assert few % 64 == 0 and 64 <= few < traverse.SOURCES_AT_ONCE
