@@ -3,6 +3,7 @@ import math
 import pytest
 
 from tests import brute
+from trailgraph import programs
 from trailgraph.functions import scalars
 from trailgraph.operators import centrality, estimate, sampling
 from trailgraph.sources import graphs, sinks
@@ -119,3 +120,67 @@ def test_lines(spark):
     assert sinks.diagram_lines(nodes).first()["line"] == "0x11: (~3?0x0:0x1)"
     assert sinks.header(5, 4, 3, 1) == "|V| = 5, |E| = 4, |S| = 3, s = 1."
     assert "1.500" in sinks.average_line(1.5, 0, 2, 0)
+
+
+def test_pairs_are_drawn_where_few_are_connected(graph, spark):
+    """On a star with many spokes pairs come by their number: each connected pair with the same chance, and none raises."""
+    g = graphs.star(spark, 2000)
+    out = sampling.connected_pairs(g, 600, 7).collect()
+    assert len(out) == 600 and {r["draw_id"] for r in out} == set(range(600))
+    d = {(0, i): 1 for i in range(1, 2001)} | {(0, i): 2 for i in range(2001, 4001)} | {(i, i + 2000): 1 for i in range(1, 2001)}
+    assert all(d[r["v"], r["w"]] == r["d"] for r in out)
+    assert sum(r["v"] == 0 for r in out) / 600 == pytest.approx(2 / 3, abs=0.07)
+    one = sampling.connected_pairs(graph([(3, 9)], 4000), 5).collect()
+    assert [(r["v"], r["w"], r["d"]) for r in one] == [(3, 9, 1)] * 5
+
+
+def test_a_star_of_20001_is_estimated(spark):
+    row = estimate.average_distance(graphs.star(spark, 10_000), "pairs", eps=0.1).first()
+    assert row["average"] == pytest.approx(1.330, abs=0.03) and row["diameter"] == 2
+
+
+def test_sampled_measures_count_repeated_draws(graph):
+    """With so many draws of few vertices each comes often; the ranking is that from all vertices."""
+    g = graph(ARCS, 4)
+    k = scalars.closeness_sample_size(0.3)
+    draws = [r["v"] for r in sampling.connected_pairs(g.transpose(), k, 42).collect()]
+    d = brute.distances(ARCS, range(4))
+    want = {u: sum(d.get((u, v), 0) for v in draws) for u in range(4)}
+    got = {r["node"]: r["c"] for r in centrality.sampled_closeness(g, 0.3).collect()}
+    assert got == {u: pytest.approx(1 / (x * k)) for u, x in want.items() if x}
+    k = scalars.sample_size(4, 0.2)
+    draws = [r["v"] for r in sampling.uniform(g, k, 42).collect()]
+    got = {r["node"]: r["c"] for r in centrality.sampled_harmonic(g, 0.2).collect()}
+    want = {u: sum(1 / (1 + d[u, v]) for v in draws if (u, v) in d) / k for u in range(4)}
+    assert got == {u: pytest.approx(x) for u, x in want.items() if x}
+
+
+def test_programs(spark, tmp_path, capsys):
+    """Every program's report on a star, as lines."""
+    (tmp_path / "a.csv").write_text("".join(f"0,{i}\n{i},{i + 5}\n" for i in range(1, 6)))
+
+    def run(*argv):
+        lines = []
+        programs.main([*argv], spark, lines.append)
+        return lines
+
+    arcs = str(tmp_path / "a.csv")
+    lines = run("sinks", arcs)
+    assert lines[0].startswith("|V| = 11, |E| = 10, |S| = 5, eta = ")
+    lines = run("pairs", arcs, "--exact")
+    assert lines[0].startswith("((|V| 11) (|E| 10) (|S| 11)") and lines[-1].startswith("((average distance 1.333333) (diameter 2) (eta ")
+    lines = run("pairs", arcs, "--eps", "0.4")
+    assert sum("remaining" in x for x in lines) == scalars.sample_size(11, 0.4) and "(remaining 1))" in lines[-3]
+    lines = run("average", arcs, "--truth")
+    assert lines[0] == "|V| = 11, |E| = 10, |S| = 173, s = 1." and "averages: distance 0.133, diameter 2.000." in lines and any("(norm 1.333), std nan" in x for x in lines)
+    lines = run("average", arcs, "--eps", "0.3", "--batch", "8")
+    assert any(x.startswith("average of averages: distance 0.1") for x in lines) and lines[-1].startswith("Total time: ")
+    lines = run("closeness", arcs, "--exact")
+    assert "1, 0.090909" in lines and any(x.startswith("0.090909: 5 nodes [1, 2, 3, 4, 5]") for x in lines)
+    lines = run("harmonic", arcs, "--exact")
+    assert lines[lines.index(sinks.ORDERED) + 1].startswith("0\t0.378787")
+    assert run("harmonic", arcs, "--eps", "0.5") and run("closeness", arcs, "--eps", "0.5")
+    assert run("paths", arcs, "0", "7")[0].startswith("0x2: (~")
+    assert "[0, 2, 7]" in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        run("pairs")

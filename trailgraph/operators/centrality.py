@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.functions.scalars import bucket, ratio
+from trailgraph.functions.scalars import bucket, closeness_sample_size, ratio, sample_size
+from trailgraph.operators.sampling import connected_pairs, uniform
 from trailgraph.operators.traverse import node_levels
 from trailgraph.plans.durable import stored
 from trailgraph.sources.graphs import Graph
 
 
 def levels(graph: Graph, direction: str = "out", sources: DataFrame | None = None) -> DataFrame:
-    """node, d, n. Traversing the transpose from all sources gives each vertex its out-distances."""
+    """node, d, n. Traversing the transpose from all sources gives each vertex its out-distances. Repeated sources count again."""
     if direction not in ("out", "in"):
         raise ValueError(f"unknown direction {direction}")
     return node_levels(graph.transpose() if direction == "out" else graph, sources)
@@ -40,6 +41,23 @@ def harmonic(found: DataFrame, n: int) -> DataFrame:
     return parts.select("node", (F.col("s") * (F.lit(1.0) / F.lit(float(n)))).alias("c"))
 
 
+def sampled_closeness(graph: Graph, eps: float = 0.1, seed: int = 42, direction: str = "out") -> DataFrame:
+    """node, c: closeness from draws with replacement of vertices that reach another against the direction, in proportion to how many.
+
+    As many draws as the error eps takes, whatever the number of vertices. Values are on the draws' own scale: compare ranks.
+    """
+    k = closeness_sample_size(eps)
+    walked = graph.transpose() if direction == "out" else graph
+    draws = connected_pairs(walked, k, seed).select(F.col("v").alias("src"))
+    return closeness(levels(graph, direction, draws), k)
+
+
+def sampled_harmonic(graph: Graph, eps: float = 0.1, seed: int = 42, direction: str = "out") -> DataFrame:
+    """node, c: harmonic centrality from uniform draws of vertices with replacement, as many as the error eps takes."""
+    k = sample_size(graph.vertices.count(), eps)
+    return harmonic(levels(graph, direction, uniform(graph, k, seed).select(F.col("v").alias("src"))), k)
+
+
 def indices(found: DataFrame) -> DataFrame:
     """node, reach, dist_sum, lin (reach^2 / sum) and nieminen (reach^2 - sum)."""
     both = found.groupBy("node").agg(F.sum("n").alias("reach"), F.sum(F.col("d") * F.col("n")).alias("dist_sum"))
