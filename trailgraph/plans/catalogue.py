@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trailgraph.functions.scalars import closeness_sample_size_column, sample_size_column
 from trailgraph.operators import centrality, estimate, paths, sampling, traverse
-from trailgraph.plans.durable import shared_dir, stored
+from trailgraph.plans.durable import running, shared_dir, stored, stored_once
 from trailgraph.sources import graphs, sinks
 from trailgraph.sources.graphs import Graph
 from trailgraph.streaming import channels
@@ -34,13 +34,33 @@ WHERE dst IS NOT NULL AND src <> dst AND q >= 48"""
 GRAPHS = {"cust": (CUST, "orders", "customer", "c_custkey"), "users": (USERS, "events", "events", "user_id"), "parts": (PARTS, "lineitem", "part", "p_partkey")}
 
 
+def followed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """From rows (v, wanted and the columns of a total order) the arcs from each wanted row's v to the next row's: src, dst.
+
+    The rows are numbered over many partitions, so the order needs no window without keys.
+    """
+    ranked = stored(running(rows.select("v", "wanted", *order), order, {}).select("pos", "v", "wanted"), "ranked")
+    after = ranked.select((F.col("pos") - 1).alias("pos"), F.col("v").alias("dst"))
+    return ranked.where("wanted").join(after, "pos").where("v <> dst").select(F.col("v").alias("src"), "dst").distinct()
+
+
+def arcs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The arcs of a graph of GRAPHS, as its SQL has them."""
+    t = spark.read.parquet(f"{sf_dir}/{GRAPHS[name][1]}.parquet")
+    if name == "cust":
+        return followed(t.select(F.col("o_custkey").alias("v"), F.expr("o_orderpriority = '1-URGENT'").alias("wanted"), "o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"])
+    if name == "users":
+        return followed(t.select(F.col("user_id").alias("v"), F.expr("event_type = 'error' AND value < 20").alias("wanted"), "ts", "event_id"), ["ts", "event_id"])
+    return spark.sql(PARTS.replace("FROM lineitem)", "FROM {t})"), t=t)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> Graph:
-    """A graph of GRAPHS, its arcs written once so that traversals don't derive them again."""
-    sql, table, of, column = GRAPHS[name]
-    arcs = spark.sql(sql.replace(f"FROM {table})", "FROM {t})"), t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-    ids = spark.read.parquet(f"{sf_dir}/{of}.parquet").select(F.col(column).alias("id"))
-    g = Graph.of(stored(arcs, "arcs"), ids)
-    return Graph(stored(g.vertices, "vertices"), g.edges)
+    """A graph of GRAPHS, derived and written once a session."""
+    _, table, of, column = GRAPHS[name]
+    inputs = [f"{sf_dir}/{t}.parquet" for t in {table, of}]
+    edges = stored_once(spark, (sf_dir, name, "arcs"), inputs, lambda: Graph.of(arcs(spark, sf_dir, name)).edges.hint("rebalance"))
+    ids = lambda: Graph.of(edges, spark.read.parquet(f"{sf_dir}/{of}.parquet").select(F.col(column).alias("id"))).vertices.hint("rebalance")
+    return Graph(stored_once(spark, (sf_dir, name, "vertices"), inputs, ids), edges)
 
 
 def head(name: str) -> str:
@@ -111,8 +131,6 @@ f AS (SELECT label, min(p) AS p FROM (SELECT x AS label, 2 * pos AS p FROM a UNI
 SELECT row_number() OVER (ORDER BY p) - 1 AS id, label FROM f""")
 def dense_ids(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderdate", "o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("p"), "o_orderpriority").alias("b"))
-    from trailgraph.plans.durable import running
-
     return Graph.from_labels(running(orders, ["o_orderdate", "o_orderkey"], {}).select("pos", "a", "b"))[1]
 
 
@@ -121,10 +139,9 @@ def hop_distances(spark, sf_dir):
     return traverse.hop_distances(load(spark, sf_dir, "users"))
 
 
-@query(head("users") + " SELECT src, dst AS node, CAST(d AS BIGINT) AS d FROM r WHERE src % 50 = 0")
+@query(head("users") + " SELECT src, dst AS node, CAST(d AS BIGINT) AS d FROM r")
 def hop_distances_by_joins(spark, sf_dir):
-    g = load(spark, sf_dir, "users")
-    return traverse.hop_distances(g, traverse.all_sources(g).where("src % 50 = 0"), strategy="frontier")
+    return traverse.hop_distances(load(spark, sf_dir, "users"), strategy="frontier")
 
 
 @query(head("cust") + """ SELECT v.id AS src, CAST(coalesce(max(d), 0) AS BIGINT) AS ecc, CAST(coalesce(sum(d), 0) AS BIGINT) AS dist_sum, count(d) AS reach
@@ -133,10 +150,10 @@ def bfs_summary(spark, sf_dir):
     return traverse.bfs_summary(load(spark, sf_dir, "cust"))
 
 
-@query(head("users") + " SELECT dst AS src, src AS node, CAST(d AS BIGINT) AS d FROM r WHERE dst % 10 = 0 UNION ALL SELECT id, id, 0 FROM v WHERE id % 10 = 0")
+@query(head("users") + " SELECT dst AS src, src AS node, CAST(d AS BIGINT) AS d FROM r UNION ALL SELECT id, id, 0 FROM v")
 def ancestors(spark, sf_dir):
     g = load(spark, sf_dir, "users")
-    return traverse.ancestors(g, traverse.all_sources(g).where("src % 10 = 0"))
+    return traverse.ancestors(g, traverse.all_sources(g))
 
 
 @query(head("cust") + " SELECT src, dst AS node, CAST(d AS BIGINT) AS d FROM r WHERE d <= 3")
@@ -278,8 +295,6 @@ def harmonic_hist(spark, sf_dir):
 
 @query(head("cust") + CLOSE + " SELECT row_number() OVER (ORDER BY c DESC, node) - 1 AS rank, node, c FROM c")
 def centrality_rank(spark, sf_dir):
-    from trailgraph.plans.durable import running
-
     c = _closeness(spark, sf_dir)
     return running(c.withColumn("down", -F.col("c")), ["down", "node"], {}, "rank").select("rank", "node", "c")
 
@@ -301,12 +316,24 @@ def approx_reach(spark, sf_dir):
     return centrality.approximate_reach(load(spark, sf_dir, "users"))
 
 
-@query()
+NUMBERED = """WITH RECURSIVE e AS ({0}), s AS (SELECT {1} AS s),
+num(id, num, level) USING KEY (id) AS (
+  SELECT s, CAST(1 AS BIGINT), CAST(0 AS BIGINT) FROM s
+  UNION
+  SELECT dst, (SELECT max(num) FROM recurring.num) + row_number() OVER (ORDER BY parent, dst), level FROM (
+    SELECT e.dst, min(n.num) AS parent, min(n.level) + 1 AS level FROM num n JOIN e ON n.id = e.src
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.num k WHERE k.id = e.dst) GROUP BY e.dst) t),
+f AS (SELECT row_number() OVER (ORDER BY a.num, e.dst) AS arc, a.num AS j, b.num AS k, e.src, e.dst
+  FROM e JOIN num a ON e.src = a.id JOIN num b ON e.dst = b.id WHERE b.num > a.num)"""
+FROM_ONE = NUMBERED.format(USERS, 1)
+
+
+@query(FROM_ONE + " SELECT id, num, level FROM num")
 def bfs_numbering(spark, sf_dir):
     return paths.bfs_numbering(load(spark, sf_dir, "users"), 1)
 
 
-@query()
+@query(FROM_ONE + " SELECT arc, j, k, src, dst FROM f")
 def forward_arcs(spark, sf_dir):
     return paths.forward_arcs(load(spark, sf_dir, "users"), 1)
 
@@ -317,73 +344,213 @@ def subgraph_filter(spark, sf_dir):
     return g.induced(g.vertices.where("id % 3 = 0")).edges
 
 
-#: Vertices of the small graph that paths are listed in, and its first pair three hops apart.
-INSIDE = 30
-SMALL = f"""WITH RECURSIVE a AS ({USERS}), e AS (SELECT * FROM a WHERE src < {INSIDE} AND dst < {INSIDE}),
-r(src, dst, d) USING KEY (src, dst) AS (
-  SELECT src, dst, 1 FROM e
-  UNION
-  SELECT r.src, e.dst, min(r.d) + 1 FROM r JOIN e ON r.dst = e.src
-  WHERE e.dst <> r.src AND NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.src = r.src AND k.dst = e.dst)
-  GROUP BY 1, 2),
-st AS (SELECT src AS s, dst AS t FROM r WHERE d = 3 ORDER BY src, dst LIMIT 1),
-p AS (SELECT [s] AS path, s AS tip FROM st UNION ALL
-  SELECT list_append(path, e.dst), e.dst FROM p JOIN e ON p.tip = e.src, st WHERE p.tip <> st.t AND NOT list_contains(path, e.dst))"""
+#: Most arcs of the paths that are listed in the whole graph: their number grows exponentially with it.
+PATH_ARCS = 6
+#: The pair of the paths: the first vertex with an arc, and the first that it reaches in exactly three.
+ENDS = """st AS (SELECT min(src) AS s FROM e),
+l1 AS (SELECT DISTINCT dst AS id FROM e, st WHERE src = s), l2 AS (SELECT DISTINCT dst AS id FROM e JOIN l1 ON src = id),
+l3 AS (SELECT DISTINCT dst AS id FROM e JOIN l2 ON src = id),
+en AS (SELECT s, min(id) AS t FROM l3, st WHERE id <> s AND id NOT IN (SELECT id FROM l1) AND id NOT IN (SELECT id FROM l2) GROUP BY s)"""
+WALKS = f"""p AS (SELECT [s] AS path, s AS tip FROM en UNION ALL
+  SELECT list_append(path, u.dst), u.dst FROM p JOIN u ON p.tip = u.src, en WHERE p.tip <> en.t AND len(path) <= {PATH_ARCS} AND NOT list_contains(path, u.dst))"""
+DIRECTED = f"WITH RECURSIVE e AS ({USERS}), {ENDS}, u AS (SELECT src, dst FROM e), {WALKS}"
+FORWARD = f"{NUMBERED.format(USERS, '(SELECT min(src) FROM e)')}, {ENDS}, u AS (SELECT src, dst FROM f UNION SELECT dst, src FROM f), {WALKS}"
 
 
-def _small(spark, sf_dir) -> tuple[Graph, int, int] | None:
-    g = load(spark, sf_dir, "users")
-    g = Graph(g.vertices.where(f"id < {INSIDE}"), stored(g.edges.where(f"src < {INSIDE} AND dst < {INSIDE}"), "arcs"))
-    pair = traverse.hop_distances(g, max_depth=3).where("d = 3").orderBy("src", "node").first()
-    return (g, pair["src"], pair["node"]) if pair else None
+def _ends(g: Graph) -> tuple[int, int] | None:
+    source = g.edges.agg(F.min("src")).first()[0]
+    if source is None:
+        return None
+    one = g.spark.createDataFrame([(source,)], "src BIGINT")
+    target = traverse.hop_distances(g, one, max_depth=3).where("d = 3").agg(F.min("node")).first()[0]
+    return None if target is None else (source, target)
 
 
 def _paths(spark, sf_dir, mode):
-    found = _small(spark, sf_dir)
-    if found is None:
+    g = load(spark, sf_dir, "users")
+    ends = _ends(g)
+    if ends is None:
         return spark.createDataFrame([], "path STRING")
-    return paths.simple_paths(*found, mode).select(F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
+    return paths.simple_paths(g, *ends, mode, max_length=PATH_ARCS).select(F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
 
 
-@query(SMALL + " SELECT array_to_string(path, '-') AS path FROM p, st WHERE tip = st.t")
+@query(DIRECTED + " SELECT array_to_string(path, '-') AS path FROM p, en WHERE tip = t")
 def simple_paths_directed(spark, sf_dir):
     return _paths(spark, sf_dir, "directed")
 
 
-@query()
+@query(FORWARD + " SELECT array_to_string(path, '-') AS path FROM p, en WHERE tip = t")
 def simple_paths_forward(spark, sf_dir):
     return _paths(spark, sf_dir, "forward")
 
 
-@query(SMALL + " SELECT count(*) AS paths FROM p, st WHERE tip = st.t")
+@query(DIRECTED + " SELECT count(*) AS paths FROM p, en WHERE tip = t")
 def count_simple_paths(spark, sf_dir):
     return _paths(spark, sf_dir, "directed").agg(F.count("*").alias("paths"))
 
 
-#: A grid-like graph whose forward arcs are few: its diagram has a node per arc and more.
-LADDER = [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (3, 4), (2, 4)]
+#: Nations before others of their region: all simple paths from the first nation to the last of its region, of any length.
+NATIONS = "SELECT a.n_nationkey AS src, b.n_nationkey AS dst FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey"
+NATION_PATHS = f"""WITH RECURSIVE e AS ({NATIONS}), en AS (SELECT src AS s, max(dst) AS t FROM e WHERE src = (SELECT min(src) FROM e) GROUP BY src),
+i AS (SELECT s AS id FROM en UNION SELECT dst FROM e, en WHERE src = s),
+f AS (SELECT row_number() OVER (ORDER BY src, dst) AS arc, src, dst FROM e WHERE src IN (SELECT id FROM i)),
+u AS (SELECT arc, src, dst FROM f UNION ALL SELECT arc, dst, src FROM f),
+p AS (SELECT [s] AS path, CAST([] AS BIGINT[]) AS arcs, s AS tip FROM en UNION ALL
+  SELECT list_append(path, u.dst), list_append(arcs, arc), u.dst FROM p JOIN u ON p.tip = u.src, en WHERE p.tip <> t AND NOT list_contains(path, u.dst)),
+q AS (SELECT path, list_sort(arcs) AS arcs FROM p, en WHERE tip = t)"""
+
 
+def _nations(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")
+    g = Graph.of(spark.sql(NATIONS.replace("FROM nation a JOIN nation b", "FROM {t} a JOIN {t} b"), t=t))
+    source = g.edges.agg(F.min("src")).first()[0]
+    target = g.edges.where(F.col("src") == source).agg(F.max("dst")).first()[0]
+    return (*paths.diagram(g, source, target), source)
 
-def _ladder(spark):
-    return paths.diagram(Graph.of(spark.createDataFrame(LADDER, "src BIGINT, dst BIGINT")), 0, 4)
+
+@query(NATION_PATHS + """, x AS (SELECT f.arc AS var, list_filter(q.arcs, lambda y: y < f.arc) AS before, list_filter(q.arcs, lambda y: y >= f.arc) AS rest FROM q, f),
+y AS (SELECT var, before, list(rest ORDER BY rest) AS family, bool_or(list_contains(rest, var)) AS used FROM x GROUP BY var, before)
+SELECT CAST(var AS INTEGER) AS var, count(DISTINCT family) AS nodes FROM y WHERE used GROUP BY var""")
+def zdd_level_sizes(spark, sf_dir):
+    """The nodes of each variable, which are the same in any reduced diagram of the same sets."""
+    return _nations(spark, sf_dir)[0].groupBy("var").agg(F.count("*").alias("nodes"))
 
 
 @query()
 def zdd_nodes(spark, sf_dir):
-    return _ladder(spark)[0]
+    return _nations(spark, sf_dir)[0]
 
 
 @query()
 def zdd_text(spark, sf_dir):
-    return sinks.diagram_lines(_ladder(spark)[0])
+    return sinks.diagram_lines(_nations(spark, sf_dir)[0])
 
 
-@query("""WITH RECURSIVE e(src, dst) AS (VALUES (0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (3, 4), (2, 4)), u AS (SELECT * FROM e UNION SELECT dst, src FROM e),
-p AS (SELECT [0] AS path, 0 AS tip UNION ALL SELECT list_append(path, u.dst), u.dst FROM p JOIN u ON p.tip = u.src WHERE p.tip <> 4 AND NOT list_contains(path, u.dst))
-SELECT array_to_string(path, '-') AS path FROM p WHERE tip = 4""")
+@query(NATION_PATHS + " SELECT array_to_string(path, '-') AS path FROM q")
 def zdd_paths(spark, sf_dir):
-    nodes, arcs = _ladder(spark)
-    return paths.decode(nodes, arcs, 0).select(F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
+    nodes, arcs, source = _nations(spark, sf_dir)
+    return paths.decode(nodes, arcs, source).select(F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
+
+
+#: Draws of the samplers: in the transpose, v is kept if w reaches it.
+CLOSE_DRAWS = f""", k AS (SELECT CAST(ceil(6.907::DOUBLE / (2 * 0.2::DOUBLE * 0.2::DOUBLE)) AS BIGINT) AS k),
+x AS (SELECT i, {sampling.draw_sql('i', sampling.FIRST, 42)} % n AS v, {sampling.draw_sql('i', sampling.SECOND, 43)} % n AS w FROM n, k, range(16384) t(i) WHERE i < 4 * k),
+c AS (SELECT x.* FROM x JOIN r ON x.w = r.src AND x.v = r.dst WHERE v <> w ORDER BY i LIMIT (SELECT k FROM k))"""
+
+
+@query(head("users") + CLOSE_DRAWS + " SELECT r.src AS node, 1::DOUBLE / (CAST(sum(r.d) AS BIGINT) * (SELECT k FROM k)) AS c FROM c JOIN r ON r.dst = c.v GROUP BY r.src")
+def closeness_sampled(spark, sf_dir):
+    return centrality.sampled_closeness(load(spark, sf_dir, "users"), 0.2)
+
+
+UNIFORM_DRAWS = f""", k AS (SELECT CAST(ceil(log2(n) / (2 * 0.1::DOUBLE * 0.1::DOUBLE)) AS BIGINT) AS k FROM n),
+x AS (SELECT i, {sampling.draw_sql('i', sampling.FIRST, 42)} % n AS v FROM n, k, range(16384) t(i) WHERE i < k)"""
+
+
+@query(head("users") + UNIFORM_DRAWS + " SELECT r.src AS node, round(sum(1::DOUBLE / (1 + r.d)) / (SELECT k FROM k), 9) AS c FROM x JOIN r ON r.dst = x.v GROUP BY r.src")
+def harmonic_sampled(spark, sf_dir):
+    return centrality.sampled_harmonic(load(spark, sf_dir, "users"), 0.1).withColumn("c", F.round("c", 9))
+
+
+@query(head("users") + " SELECT src AS node, CAST((SELECT n FROM n) AS DOUBLE) / CAST(sum(d) AS BIGINT) AS c FROM r GROUP BY src")
+def closeness_mean(spark, sf_dir):
+    g = load(spark, sf_dir, "users")
+    return centrality.closeness(centrality.levels(g), g.vertices.count(), "mean")
+
+
+REACH_DRAWS = f""", k AS (SELECT CAST(ceil(log2(n) / (2 * 0.1::DOUBLE * 0.1::DOUBLE)) AS BIGINT) AS k FROM n),
+t AS (SELECT i, {sampling.draw_sql('i', sampling.SECOND, 42)} % n AS v FROM n, k, range(16384) t(i) WHERE i < k),
+b AS (SELECT src AS node, dst AS v FROM r UNION ALL SELECT id, id FROM v),
+w AS (SELECT v.id AS node, count(b.v) AS weight FROM v LEFT JOIN (SELECT b.* FROM t JOIN b ON t.v = b.v) b ON v.id = b.node GROUP BY v.id),
+c AS (SELECT node, weight, CAST(sum(weight) OVER (ORDER BY node) AS BIGINT) AS cumulative FROM w),
+m AS (SELECT max(cumulative) AS m FROM c), d AS (SELECT i AS draw_id, {sampling.draw_sql('i', sampling.THIRD, 42)} % m + 1 AS x FROM m, k, range(16384) t(i) WHERE i < k),
+z AS (SELECT draw_id, node AS v FROM d JOIN c ON x > cumulative - weight AND x <= cumulative),
+s AS (SELECT src, sum(d) AS s, count(*) AS c, max(d) AS m FROM r GROUP BY src),
+g AS (SELECT draw_id // 50 AS batch, CAST(sum(s.s) AS DOUBLE) / sum(s.c) AS norm, max(s.m) AS diameter FROM z JOIN s ON z.v = s.src GROUP BY 1)
+SELECT round(avg(norm), 8) AS average, round(coalesce(stddev_samp(norm), 0), 8) AS spread, round(avg(diameter), 8) AS diameter,
+  round(coalesce(stddev_samp(diameter), 0), 8) AS diameter_spread, count(*) AS batches FROM g"""
+
+
+@query(head("users") + REACH_DRAWS)
+def avg_distance_reach(spark, sf_dir):
+    """The main estimator in its default mode."""
+    out = estimate.average_distance(load(spark, sf_dir, "users"), "reach", "ratio_of_sums", eps=0.1, batch=50)
+    return out.select(*[F.round(F.nanvl(c, F.lit(0.0)), 8).alias(c) for c in ("average", "spread", "diameter", "diameter_spread")], "batches")
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+
+
+@query(plain("cust") + " SELECT src, dst FROM e")
+def arcs_from_csv(spark, sf_dir):
+    """Arcs written as numeric CSV and loaded from there."""
+    path = _folder(spark)
+    load(spark, sf_dir, "cust").edges.write.csv(path)
+    return Graph.from_csv(spark, path).edges
+
+
+@query(plain("cust") + " SELECT id FROM v UNION SELECT src FROM e UNION SELECT dst FROM e")
+def vertices_from_table(spark, sf_dir):
+    """Arcs and vertices as tables, clustered by source, loaded from there; a transpose of one table's graph fits the other's."""
+    path, g = _folder(spark), load(spark, sf_dir, "cust")
+    g.clustered().edges.write.parquet(f"{path}/e")
+    g.vertices.write.parquet(f"{path}/v")
+    found = Graph.from_table(spark, f"{path}/e", f"{path}/v")
+    found.check_transposed(g.transpose())
+    return found.vertices
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS id, n_name AS label FROM nation")
+def label_dictionary(spark, sf_dir):
+    """A dictionary of labels written one a line and read again; the line number is the id."""
+    path, names = _folder(spark), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    labels = running(names.select("n_nationkey", F.col("n_name").alias("label")), ["n_nationkey"], {}, "id").select("id", "label")
+    graphs.write_labels(labels.coalesce(1), path)
+    return graphs.read_labels(spark, path)
+
+
+@query("SELECT 'c' || r_regionkey AS src, n_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey")
+def labelled_arcs(spark, sf_dir):
+    """Arcs of labels written as lines, loaded with dense ids and named again."""
+    path, t = _folder(spark), spark.read.parquet(f"{sf_dir}/nation.parquet")
+    t.orderBy("n_nationkey").select(F.concat(F.lit("c"), "n_regionkey", F.lit("\t"), "n_name")).coalesce(1).write.text(path)
+    g, labels = Graph.from_label_file(spark, path)
+    return graphs.decode(graphs.decode(g.edges, labels, "src"), labels, "dst")
+
+
+@query(plain("cust") + " SELECT 'arcs' AS key, CAST((SELECT count(*) FROM e) AS VARCHAR) AS value UNION ALL SELECT 'nodes', CAST((SELECT count(*) FROM v) AS VARCHAR)")
+def properties(spark, sf_dir):
+    """A graph's properties written as a file and read again."""
+    path, row = _folder(spark), load(spark, sf_dir, "cust").size().first()
+    spark.createDataFrame([("# made here",), (f"nodes={row['n_vertices']}",), (f"arcs = {row['n_arcs']}",)], "value STRING").coalesce(1).write.text(path)
+    return spark.createDataFrame(sorted(graphs.read_properties(spark, path).items()), "key STRING, value STRING")
+
+
+@query("SELECT c_custkey AS node, CAST(c_acctbal AS DOUBLE) AS value FROM customer")
+def stored_vector(spark, sf_dir):
+    """A measure per vertex written as one bracketed line, and read again."""
+    path, t = _folder(spark), spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_acctbal").cast("double").cast("string").alias("x"))
+    line = t.agg(F.concat(F.lit("["), F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "x"))), lambda r: r["x"])), F.lit("]")).alias("value"))
+    line.coalesce(1).write.text(path)
+    return graphs.read_vector(spark, path)
+
+
+@query(head("users") + CLOSE + " SELECT node, c AS cc FROM c UNION ALL SELECT id, NULL FROM v WHERE id NOT IN (SELECT node FROM c)")
+def stored_centrality(spark, sf_dir):
+    """Closeness written as CSV, nan where a vertex has none, and read again."""
+    path, g = _folder(spark), load(spark, sf_dir, "users")
+    c = g.vertices.join(_closeness(spark, sf_dir, "users"), F.col("id") == F.col("node"), "left")
+    c.select("id", F.coalesce(F.col("c").cast("string"), F.lit("nan"))).write.csv(path)
+    return graphs.read_centrality(spark, path)
+
+
+@query(head("users") + CLOSE + " SELECT printf('%d, %.6f', node, c) AS line FROM c")
+def ranked_report(spark, sf_dir):
+    """The lines of a ranking, written as text and read again."""
+    path = _folder(spark)
+    sinks.write_lines(sinks.ranked_lines(_closeness(spark, sf_dir, "users")), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS src, i AS dst FROM range(1, 1001) t(i) UNION ALL SELECT i, i + 1000 FROM range(1, 1001) t(i)")
