@@ -159,7 +159,8 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = stored(files.mapInPandas(_candidates(with_payload), CANDIDATES + ", payload binary" * with_payload), "candidates")
     records = found.where("begin IS NOT NULL")
-    records = records.join(reachable(records.select("path", "begin", "next")), ["path", "begin"], "left_semi")
+    # Merged, as all tables here grow with the archives, and compressed ones look small enough to be broadcast.
+    records = records.join(reachable(records.select("path", "begin", "next")).hint("merge"), ["path", "begin"], "left_semi")
     ends = records.groupBy("path").agg(F.max("next").alias("end"))
     broken = found.where("begin IS NULL AND file_bytes > 0").join(ends, "path", "left").where("end IS NULL OR end <> file_bytes")
     if lost := broken.select("path").limit(5).collect():
@@ -180,8 +181,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     back = stored(read(spark, path, with_payload=False), "records")
     revisits = back.where("record_type = 'revisit'").select("page_id", "refers_to")
     # A response per page that revisits name; repeated rows of a page have the same payload here.
-    named = back.where("record_type = 'response'").join(revisits.select(F.col("refers_to").alias("page_id")).distinct(), "page_id", "left_semi")
+    named = back.where("record_type = 'response'").join(revisits.select(F.col("refers_to").alias("page_id")).distinct().hint("merge"), "page_id", "left_semi")
     named = named.groupBy(F.col("page_id").alias("of")).agg(F.max_by(F.struct("payload_bytes", "payload_digest"), "payload_bytes").alias("p"))
-    resolved = revisits.join(named, F.col("refers_to") == F.col("of")).select("page_id", "p.payload_bytes", "p.payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
+    resolved = revisits.join(named.hint("merge"), F.col("refers_to") == F.col("of")).select("page_id", "p.payload_bytes", "p.payload_digest", F.lit("revisit").alias("record_type"), "refers_to")
     responses = back.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("string").alias("refers_to"))
     return responses.unionByName(resolved)
