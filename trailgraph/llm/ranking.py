@@ -89,7 +89,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = SEED) -> t
     if not len(good) or not len(bad):
         return np.zeros(x.shape[1]), 0.0 if len(good) else 1e-9
     rng = np.random.default_rng(seed)
-    scale = x.std(axis=0) + 1e-6
+    scale = x.std(axis=0, dtype=np.float64) + 1e-6
     ridge = np.where(np.arange(x.shape[1]) < len(FEATURES), RIDGE, BIN_RIDGE)
     z, first, second = (x / scale).astype(np.float32), rng.choice(good, pairs), rng.choice(bad, pairs)
     w = np.zeros(x.shape[1])
@@ -119,8 +119,10 @@ def train(found: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     share = min(1.0, sample_rows / max(1, labels.count()))
     some = labels.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.lit(1 << 20)) < int(share * (1 << 20))).select("doc_id", "quality")
-    rows = some.join(found, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("doc_id", "quality", "x").toPandas().sort_values("doc_id")
-    return fit(np.array(rows["x"].tolist(), np.float64).reshape(-1, len(NAMES)), rows["quality"].to_numpy())
+    rows = some.join(found, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("doc_id", "quality", "x")
+    rows = rows.toArrow().sort_by("doc_id")  # so that reruns agree; as arrays, without an object per number
+    x = np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in rows.column("x").chunks)]).reshape(-1, len(NAMES))
+    return fit(x, rows.column("quality").to_numpy())
 
 
 def score(weights: np.ndarray, threshold: float) -> Column:
