@@ -33,6 +33,8 @@ SEED = 42
 TILE = 2048
 #: Sets of shingles that one group compares; larger groups are dealt over pairs of tiles.
 SETS_TILE = 256
+#: Texts whose sets of shingles a task holds at once.
+TEXTS_AT_ONCE = 512
 #: Rows of the table of large buckets up to which it is broadcast.
 BROADCAST_ROWS = 20_000
 #: Hashes whose bits are counted at once.
@@ -218,13 +220,16 @@ def shingled(docs: DataFrame, shingle: int, parts: int = 0) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t if isinstance(t, str) else "", shingle)) for t in batch.pop("text")]
-            if parts:
-                digests = [divmod(xxhash.xxh3_128_intdigest(h.tobytes(), SEED), 1 << 64) for h in sets]
-                found = np.array([(*d, *majority(h, parts)) for d, h in zip(digests, sets, strict=True)], np.uint64).reshape(-1, len(names))
-                yield batch.assign(**dict(zip(names, found.view(np.int64).T, strict=True)))
-            else:
-                yield batch.assign(h=[h.view(np.int64) for h in sets])
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                part = batch.iloc[at : at + TEXTS_AT_ONCE]
+                sets = [np.unique(shingle_hashes(t if isinstance(t, str) else "", shingle)) for t in part["text"]]
+                part = part.drop(columns="text")
+                if parts:
+                    digests = [divmod(xxhash.xxh3_128_intdigest(h.tobytes(), SEED), 1 << 64) for h in sets]
+                    found = np.array([(*d, *majority(h, parts)) for d, h in zip(digests, sets, strict=True)], np.uint64).reshape(-1, len(names))
+                    yield part.assign(**dict(zip(names, found.view(np.int64).T, strict=True)))
+                else:
+                    yield part.assign(h=[h.view(np.int64) for h in sets])
 
     carried = Carried(docs, ["doc_id"])
     new = names if parts else ["h"]
