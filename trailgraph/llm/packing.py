@@ -29,7 +29,7 @@ from trailgraph.llm.common import ship, stored
 
 #: Words in each of the two generations that a Python worker remembers, also from task to task. When the young one is full, the
 #: old one goes and words that are met again move on. Only speed depends on it.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 60_000
 
 #: Texts whose words are looked up together.
 TEXTS_AT_ONCE = 2048
