@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns documents with their columns;
 the last returns packed pieces. run() writes each stage's documents to the shared folder and reads them again.
+
+In every stage: an empty table gives no rows, columns of any further names go through untouched, and repeated rows are documents
+each, but in near-duplicates, where they are copies. Null and empty texts have no words: quality rules reject them; given to the
+later stages, they are one group of near-duplicates, hold no personal data, come once in the mix and pack as the end id alone.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from trailgraph.llm.queries import tokenizer_json
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fixed and adaptive rules keep."""
+    """Documents that the fixed and adaptive rules keep. A null lang or source is a group of its own."""
     return rules.filter_documents(docs)
 
 
@@ -24,7 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Sets of shingles with Jaccard similarity 0.8 have cosine 8 / 9, at which a SimHash bit differs with chance 0.151: 77 of 512
     bits (deviation 8). Candidates differ in at most 120 bits and share one of 96 pairs of bytes, which finds 0.995 of the pairs
-    at 0.8 (simulated); a pair is then accepted by its exact similarity.
+    at 0.8 (simulated); what they bring together is linked by exact similarity. Documents without an id stay if no other of
+    their group has one, once per text.
     """
     ship(spark)
     return simhash.one_of_each(docs, simhash.alike, shingle=5, jaccard=0.8, parts=8, distance=120)
@@ -43,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by source weights, a row for each time that the mix plays one, in the mix's order."""
+    """Documents by source weights, a row for each time that the mix plays one, in the mix's order. A null source is a source."""
     return mixing.mix_documents(docs)
 
 
