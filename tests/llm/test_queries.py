@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as driver
@@ -33,13 +34,49 @@ def test_query(spark, sf_dir, name):
     n = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     assert len(rows) >= n if name == "op4_pack" else len(rows) == n
     if name in ORACLE_SQL:
-        db = duckdb.connect()
-        for t in ("documents", "pages"):
-            db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(sf_dir, t)}.parquet')")
-        cursor = db.execute(ORACLE_SQL[name])
-        names = [c[0] for c in cursor.description]
-        key = lambda cells: sorted(repr(sorted(zip(n, c, strict=True))) for n, c in cells)
-        assert key((names, c) for c in cursor.fetchall()) == key((df.columns, c) for c in rows)
+        assert cells(df.columns, rows) == by_sql(name, sf_dir, table)
+
+
+def cells(names, rows):
+    return sorted(repr(sorted(zip(names, c, strict=True))) for c in rows)
+
+
+def by_sql(name, sf_dir, table):
+    db = duckdb.connect()
+    path = f"{os.path.join(sf_dir, table)}.parquet"
+    db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path + '/*.parquet' * os.path.isdir(path)}')")
+    cursor = db.execute(ORACLE_SQL[name])
+    return cells([c[0] for c in cursor.description], cursor.fetchall())
+
+
+def written(df, tmp_path, table):
+    df.coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    return str(tmp_path)
+
+
+def test_vectors_by_sql_with_links(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8))
+    near = [(v + 0.1 * k * rng.normal(size=8)).tolist() for v in x for k in range(5)]
+    odd = [None, [], [0.0] * 8, [1.0] * 7 + [None], [1.0] * 7 + [float("nan")], [1.0] * 7 + [float("inf")], near[3], near[3]]
+    df = spark.createDataFrame(list(enumerate(near + odd)), "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    sf_dir = written(df, tmp_path, "embeddings")
+    out = QUERIES["op8_vectors"](spark, sf_dir)
+    rows = [tuple(r) for r in out.collect()]
+    assert sum(r[1] > 0 for r in rows) > 100 and sum(not r[3] for r in rows) > 50
+    assert cells(out.columns, rows) == by_sql("op8_vectors", sf_dir, "embeddings")
+
+
+def test_substrings_by_sql_on_odd_texts(spark, odd, tmp_path):
+    """Several bytes a character, runs that touch, repeats inside one text, a window's length and a byte less."""
+    block = "".join(chr(0x100 + i * 7 % 300) for i in range(130))
+    texts = [block[:100], block[:99], "x" + block[:100], "ab" * 300, block * 2 + "q" + block, block[:100] + block[:100], "é" * 250, "-" + block[10:110] + "z" * 90]
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING")
+    sf_dir = written(odd.select("doc_id", "text").where("doc_id IS NOT NULL").union(more), tmp_path, "documents")
+    out = QUERIES["op6_substrings"](spark, sf_dir)
+    rows = [tuple(r) for r in out.collect()]
+    assert sum(r[2] > 0 for r in rows) >= 6
+    assert cells(out.columns, rows) == by_sql("op6_substrings", sf_dir, "documents")
 
 
 def test_registered():

@@ -123,4 +123,36 @@ SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(words, budg
 FROM c2, b GROUP BY id, doc_id, size, source_size, target
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op7_mix": OP7_SQL}
+# Windows of 200 bytes by their md5, as hexadecimal digits: two a byte, taken from pieces of a text so that no substring starts far in.
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rk, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS MATERIALIZED (SELECT *, CAST(length(x) // 2 AS BIGINT) AS n_bytes FROM d),
+c AS (SELECT rk, base, substr(x, 2 * base + 1, 2 * (1024 + 199)) AS piece, least(1024, n_bytes - 199 - base) AS many
+  FROM n, unnest(range(0, n_bytes - 199, 1024)) u(base)),
+w AS MATERIALIZED (SELECT rk, base + i AS pos, md5_number(substr(piece, 2 * i + 1, 400)) AS h FROM c, unnest(range(0, many)) u(i)),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+p AS (SELECT rk, pos, lag(pos) OVER (PARTITION BY rk ORDER BY pos) AS before FROM w WHERE h IN (SELECT h FROM r)),
+s AS (SELECT rk, pos, sum(CASE WHEN pos <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY rk ORDER BY pos) AS run FROM p),
+g AS MATERIALIZED (SELECT rk, min(pos) AS a, max(pos) + 200 AS b FROM s GROUP BY rk, run),
+t AS (SELECT rk, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM g GROUP BY rk),
+e AS (SELECT rk, coalesce(lag(b) OVER (PARTITION BY rk ORDER BY a), 0) AS since, a AS until FROM g
+  UNION ALL SELECT rk, coalesce(last, 0), n_bytes FROM n LEFT JOIN t USING (rk)),
+k AS (SELECT rk, string_agg(substr(x, 2 * since + 1, 2 * (until - since)), '' ORDER BY since) AS kept FROM e JOIN n USING (rk) GROUP BY rk)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(kept)) AS kept_sha256
+FROM n JOIN k USING (rk) LEFT JOIN t USING (rk)
+"""
+
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS id, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS MATERIALIZED (SELECT * FROM v WHERE len(e) > 0 AND list_count(e) = len(e)
+  AND isfinite(list_min(e)) AND isfinite(list_max(e)) AND (list_min(e) <> 0 OR list_max(e) <> 0)),
+l AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.id <> b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+n AS (SELECT a AS id, count(*) AS n_links FROM l GROUP BY a),
+r AS (SELECT id AS root, id FROM v UNION SELECT root, b FROM r JOIN l ON r.id = l.a),
+c AS (SELECT r.id, min(v.vec_id) AS component_id FROM r JOIN v ON r.root = v.id GROUP BY r.id)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c USING (id) LEFT JOIN n USING (id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_substrings": OP6_SQL, "op7_mix": OP7_SQL, "op8_vectors": OP8_SQL}
