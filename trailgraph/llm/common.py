@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trailgraph.plans.durable import running, shared_dir, ship, stored
 
-__all__ = ["BLANKS", "Carried", "blank_count", "held_out", "press", "running", "shared_dir", "ship", "stored", "table", "unpress", "word_count", "words_of"]
+__all__ = ["BLANKS", "Carried", "held_out", "press", "running", "shared_dir", "ship", "stored", "table", "unpress", "word_count", "words_of"]
 
 #: The six bytes that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -68,11 +68,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blank_count(text: Column) -> Column:
-    """Number of blanks in a text; all are single bytes in UTF-8."""
-    return sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(b))) for b in BLANKS), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for null or blank texts."""
     bare = F.btrim(text, F.lit(BLANKS))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailgraph.llm.common import BLANKS, blank_count, stored, words_of
+from trailgraph.llm.common import BLANKS, stored, words_of
 
 #: Fixed values of the rules: the symbols, and the length of windows.
 SYMBOLS = "#*$%&|<>"
@@ -38,12 +38,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Number of words that lie in windows found twice or more among the words."""
+    """Number of words that lie in windows (of two words or more) found twice or more among the words."""
     none = F.lit(0).cast("long")
 
-    def windows(h: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(h) - (window - 1))
-        return F.when(F.size(h) >= window, F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, window)))).otherwise(F.array().cast("array<bigint>"))
+    def joined(step: int) -> Callable[[Column], Column]:
+        return lambda g: F.transform(g, lambda x, i: F.xxhash64(x, F.get(g, i + step)))
+
+    def whole(g: Column) -> Column:
+        return F.when(F.size(g) >= window, F.slice(g, 1, F.size(g) - (window - 1))).otherwise(F.array().cast("array<bigint>"))
+
+    def windows(words: Column) -> Column:
+        """A hash per window, each of those of two shorter ones that cover it."""
+        out, length = words, 1
+        while length < window:
+            step = min(length, window - length)
+            out, length = let(out, joined(step)), length + step
+        return let(out, whole)  # past the last whole window are hashes of fewer words
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, i: F.least(F.lit(window), F.coalesce(F.get(p, i + 1) - x, F.lit(window))).cast("long"))
@@ -57,7 +67,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         pairs = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(g)) == F.size(g), none).otherwise(let(let(pairs, places), covered))
 
-    return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), repeats)
+    return let(windows(words), repeats)
 
 
 def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -69,7 +79,7 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     docs = docs.select(
         "row", "lang", "source",
         F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - blank_count(F.col("text"))).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
