@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgraph.llm import langid, mixing, packing, pii, ranking, rules, simhash, substrings, vectors, warc
+from trailgraph.llm import collocations, hmm, infill, langid, mixing, packing, pii, ranking, rules, simhash, substrings, vectors, warc
 from trailgraph.llm.common import held_out, table
 
 
@@ -76,6 +76,23 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op12_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known, chain = hmm.fit(docs.where(~held_out(F.col("doc_id"), 5, 1)))
+    out = hmm.score(docs, known, chain, ["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.infill(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+    digest = F.sha2(F.col("output"), 256).alias("output_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest, F.sha2(infill.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -87,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_vectors": op8_vectors,
     "op9_langid": op9_langid,
     "op10_rules": op10_rules,
+    "op11_collocations": op11_collocations,
+    "op12_hmm": op12_hmm,
+    "op13_infill": op13_infill,
 }
 
 OP5_SQL = """
@@ -155,4 +175,35 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, ve
 FROM v JOIN c USING (id) LEFT JOIN n USING (id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_substrings": OP6_SQL, "op7_mix": OP7_SQL, "op8_vectors": OP8_SQL}
+OP11_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, unnest(pieces) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM w, (VALUES (1), (2), (3)) t(k), unnest(range(1, len(w) - k + 2)) u(i)),
+c AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING k = 1 OR count(*) >= 10),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+x AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS k FROM c WHERE k > 1),
+s AS (SELECT x.lang, x.phrase, x.a, x.k, l.f AS l, r.f AS r, CAST(1000000::HUGEINT * x.a * x.a // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM x
+  JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1 : x.k], ' ') JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.k + 1 : x.size], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, array_to_string(string_split(phrase, ' ')[j : j + 1], ' ') AS phrase FROM c, (VALUES (1), (2)) t(j) WHERE k = 3) q GROUP BY lang, phrase),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 50 * b.a)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS r FROM d),
+c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+      WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_substrings": OP6_SQL, "op7_mix": OP7_SQL, "op8_vectors": OP8_SQL, "op11_collocations": OP11_SQL, "op13_infill": OP13_SQL}
