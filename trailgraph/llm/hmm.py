@@ -29,8 +29,11 @@ OWN_WORDS, ENDINGS, ENDING_BYTES = 16_384, 4096, 4
 #: Most words whose counts travel to every task; the counts of others are joined.
 HEAD_WORDS = 200_000
 
-#: Tokens that the recursion takes as one stretch, and stretches that it takes at once.
-STRETCH, ROWS_AT_ONCE = 256, 512
+#: Tokens of a stretch in training and in scoring, where one after the first is run from each state, and tokens taken at once.
+STRETCH, SCORED_STRETCH, TOKENS_AT_ONCE = 256, 1024, 1 << 17
+
+#: Texts that are scored together.
+TEXTS_AT_ONCE = 512
 
 #: Different words that a task holds before it gives rows.
 WORDS_HELD = 500_000
@@ -159,12 +162,21 @@ class Chain:
     emit: np.ndarray
 
 
-def stretches(lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts cut into stretches of at most STRETCH tokens: where each starts, how long it is, and whether it begins a text."""
-    many = -(-lengths // STRETCH)
+def stretches(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after the other cut into stretches of at most `size` tokens: where each starts, how long it is, and whether it begins a text."""
+    many = -(-lengths // size)
     text = np.repeat(np.arange(len(lengths)), many)
     place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    return first[text] + place * STRETCH, np.minimum(STRETCH, lengths[text] - place * STRETCH), place == 0
+    return (np.cumsum(lengths) - lengths)[text] + place * size, np.minimum(size, lengths[text] - place * size), place == 0
+
+
+def together(length: np.ndarray) -> Iterator[np.ndarray]:
+    """The stretches in groups of similar length, each the longest first, whose longest fills TOKENS_AT_ONCE."""
+    order, at = np.argsort(-length, kind="stable"), 0
+    while at < len(order):
+        size = max(1, TOKENS_AT_ONCE // int(length[order[at]]))
+        yield order[at : at + size]
+        at += min(size, len(order) - at)
 
 
 def forward(chain: Chain, ids: np.ndarray, start: np.ndarray, length: np.ndarray, prior: np.ndarray, kind: type = np.float64, keep: bool = False) -> tuple:
@@ -289,10 +301,8 @@ def one_round(ids: DataFrame, chain: Chain, rest: np.ndarray) -> dict[str, np.nd
             texts = [np.frombuffer(b.as_buffer(), np.uint16) for b in batch.column("ids")]
             lengths = np.array([len(x) for x in texts], np.int64)
             every = np.concatenate(texts).astype(np.int64)
-            start, length, begins = stretches(lengths, np.cumsum(lengths) - lengths)
-            order = np.argsort(-length, kind="stable")
-            for k in range(0, len(order), ROWS_AT_ONCE):
-                some = order[k : k + ROWS_AT_ONCE]
+            start, length, begins = stretches(lengths, STRETCH)
+            for some in together(length):
                 expected(chain, every, start[some], length[some], begins[some], rest, out)
         out["move"] *= chain.move
         table = np.concatenate([out["emit"], out["move"], out["start"][None], np.full((1, states), out["log"])])
@@ -314,19 +324,17 @@ def likelihoods(chain: Chain, texts: list[np.ndarray]) -> np.ndarray:
     states = len(chain.start)
     lengths = np.array([len(x) for x in texts], np.int64)
     every = np.concatenate(texts)
-    start, length, begins = stretches(lengths, np.cumsum(lengths) - lengths)
+    start, length, begins = stretches(lengths, SCORED_STRETCH)
     runs = np.where(begins, 1, states)
     which = np.repeat(np.arange(len(start)), runs)
     entry = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs)
     prior = np.where(begins[which, None], chain.start, chain.move[entry])
     last, logs = np.empty((len(which), states)), np.empty(len(which))
-    order = np.argsort(-length[which], kind="stable")
-    for k in range(0, len(order), ROWS_AT_ONCE):
-        some = order[k : k + ROWS_AT_ONCE]
+    for some in together(length[which]):
         state, logs[some] = forward(chain, every, start[which[some]], length[which[some]], prior[some].T)
         last[some] = state.T
     out, at = np.zeros(len(texts)), 0
-    for k, many in enumerate((-(-lengths // STRETCH)).tolist()):
+    for k, many in enumerate((-(-lengths // SCORED_STRETCH)).tolist()):
         state, log = last[at], logs[at]
         at += 1
         for _ in range(many - 1):
@@ -357,8 +365,8 @@ def score(docs: DataFrame, known: Words, chain: Chain, carry: list[str]) -> Data
         head, head_n, head_class, own, divisor, base, chain = shared.value
         logs = np.log10(head_n + 0.5)
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                some = batch.slice(k, 256)
+            for k in range(0, len(batch), TEXTS_AT_ONCE):
+                some = batch.slice(k, TEXTS_AT_ONCE)
                 made, texts = [], []
                 for text in some.column("__text").cast(pa.binary()):
                     found = words(text.as_py())
