@@ -40,7 +40,7 @@ def test_loaders(spark, tmp_path):
     (tmp_path / "n.nodes").write_text("x\ny\n")
     assert rows(graphs.read_labels(spark, str(tmp_path / "n.nodes"))) == [(0, "x"), (1, "y")]
     (tmp_path / "p.properties").write_text("#comment\nnodes=3\narcs = 4\n")
-    assert graphs.read_properties(spark, str(tmp_path / "p.properties")) == {"nodes": "3", "arcs": "4"}
+    assert rows(graphs.read_properties(spark, str(tmp_path / "p.properties"))) == [("arcs", "4"), ("nodes", "3")]
     (tmp_path / "v.txt").write_text("[0.5, 1.0, 2.25]")
     assert rows(graphs.read_vector(spark, str(tmp_path / "v.txt"))) == [(0, 0.5), (1, 1.0), (2, 2.25)]
     (tmp_path / "c.csv").write_text("0,0.5\n1,nan\n2,-nan\n")

@@ -34,3 +34,11 @@ def test_running_averages_of_a_stream(spark, tmp_path):
     sink(spark.createDataFrame([(3.0, 2.0)], "norm DOUBLE, diameter DOUBLE"), 1)  # the same batch again
     row = sink.averages(spark).first()
     assert row["average"] == 2.0 and row["spread"] == pytest.approx(2**0.5) and row["diameter_spread"] == 0.0
+
+
+def test_running_averages_keep_a_small_spread_of_large_values(spark, tmp_path):
+    sink = channels.RunningAverages(str(tmp_path / "avg"))
+    for batch, values in enumerate([[1e9, 1e9 + 1], [1e9 + 2]]):
+        sink(spark.createDataFrame([(v, 1.0) for v in values], "norm DOUBLE, diameter DOUBLE"), batch)
+    row = sink.averages(spark).first()
+    assert row["average"] == pytest.approx(1e9 + 1) and row["spread"] == pytest.approx(1.0) and row["diameter_spread"] == 0.0

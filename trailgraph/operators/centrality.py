@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgraph.functions.scalars import bucket, closeness_sample_size, ratio, sample_size
+from trailgraph.operators import sketches
 from trailgraph.operators.sampling import connected_pairs, uniform
 from trailgraph.operators.traverse import node_levels
-from trailgraph.plans.durable import stored
 from trailgraph.sources.graphs import Graph
 
 
@@ -91,15 +91,6 @@ def equal_width(c: DataFrame, bins: int = 10) -> DataFrame:
     return c.where("c IS NOT NULL").groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("cnt"))
 
 
-def approximate_reach(graph: Graph, rounds: int = 64, precision: int = 10) -> DataFrame:
-    """node, reach (an estimate, the vertex left out) by HyperLogLog sketches that flow against the arcs until nothing changes."""
-    sketches = stored(graph.vertices.select(F.col("id").alias("node")).groupBy("node").agg(F.hll_sketch_agg("node", F.lit(precision)).alias("s")), "sketches")
-    before = None
-    for _ in range(rounds):
-        ahead = graph.edges.join(sketches.select(F.col("node").alias("dst"), "s"), "dst").select(F.col("src").alias("node"), "s")
-        sketches = stored(sketches.union(ahead).groupBy("node").agg(F.hll_union_agg("s").alias("s")), "sketches")
-        now = sketches.agg(F.sum(F.hll_sketch_estimate("s"))).first()[0]
-        if now == before:
-            break
-        before = now
-    return sketches.select("node", (F.hll_sketch_estimate("s") - 1).alias("reach"))
+def approximate_reach(graph: Graph, precision: int = sketches.PRECISION) -> DataFrame:
+    """node, reach (an estimate, the vertex left out) by sketches that flow against the arcs until nothing changes, however deep the graph."""
+    return sketches.measures(graph, precision).select("node", "reach")

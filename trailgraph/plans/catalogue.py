@@ -6,15 +6,17 @@ error events, and parts within orders.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailgraph.functions.scalars import closeness_sample_size_column, sample_size_column
-from trailgraph.operators import centrality, estimate, paths, sampling, traverse
+from trailgraph.operators import centrality, components, estimate, paths, sampling, sketches, traverse
 from trailgraph.plans.durable import running, shared_dir, stored, stored_once
+from trailgraph.plans.index import indexed
 from trailgraph.sources import graphs, sinks
 from trailgraph.sources.graphs import Graph
 from trailgraph.streaming import channels
@@ -150,6 +152,74 @@ def bfs_summary(spark, sf_dir):
     return traverse.bfs_summary(load(spark, sf_dir, "cust"))
 
 
+@query(head("users") + """ SELECT v.id AS src, CAST(coalesce(max(d), 0) AS BIGINT) AS ecc, CAST(coalesce(sum(d), 0) AS BIGINT) AS dist_sum, count(d) AS reach
+FROM v LEFT JOIN r ON v.id = r.src GROUP BY v.id""")
+def bfs_summary_by_joins(spark, sf_dir):
+    return traverse.bfs_summary(load(spark, sf_dir, "users"), strategy="frontier")
+
+
+@query(head("users") + " SELECT dst AS node, CAST(d AS BIGINT) AS d, count(*) AS n FROM r GROUP BY 1, 2")
+def node_levels_by_joins(spark, sf_dir):
+    return traverse.node_levels(load(spark, sf_dir, "users"), strategy="frontier")
+
+
+@query(plain("cust") + " SELECT a.src, CAST(count(DISTINCT b.dst) AS BIGINT) AS n FROM e a JOIN e b ON a.dst = b.src GROUP BY a.src")
+def two_hops_on_index(spark, sf_dir):
+    """How many vertices are two arcs away, by two joins on the stored index; the arcs stay in their buckets."""
+    g = load(spark, sf_dir, "cust")
+    index = indexed(g.edges)
+    once = index.ahead(g.vertices.select(F.col("id").alias("node"), F.col("id").alias("src"))).select("src", F.col("head").alias("node")).distinct()
+    return index.ahead(once).select("src", "head").groupBy("src").agg(F.count_distinct("head").alias("n"))
+
+
+#: A customer's orders follow each other; the last of some leads back to the first, and dear urgent ones also to the next order of all.
+ORDERED = """o AS (SELECT o_orderkey AS id, o_orderpriority = '1-URGENT' AS urgent, o_totalprice >= 450000 AS dear, lead(o_orderkey) OVER own AS own, first_value(o_orderkey) OVER own AS first,
+  lead(o_orderkey) OVER (ORDER BY o_orderdate, o_orderkey) AS following, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders WINDOW own AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
+OWN_ORDERS = "SELECT id AS src, own AS dst FROM o WHERE own IS NOT NULL UNION SELECT id, following FROM o WHERE urgent AND dear AND following IS NOT NULL UNION SELECT id, first FROM o WHERE own IS NULL AND urgent AND id <> first"
+#: All orders follow each other, and dear urgent ones also lead to their customer's next.
+ALL_ORDERS = "SELECT id AS src, following AS dst FROM o WHERE following IS NOT NULL UNION SELECT id, own FROM o WHERE urgent AND dear AND own IS NOT NULL"
+
+
+def order_graph(spark: SparkSession, sf_dir: str, arcs: str) -> Graph:
+    """A deep graph of orders, by OWN_ORDERS or ALL_ORDERS. The order of all is found by range-sorting, not by a window without keys."""
+
+    def made() -> DataFrame:
+        t = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+        placed = stored(running(t, ["o_orderdate", "o_orderkey"], {}, "place"), "placed")
+        after = placed.select((F.col("place") - 1).alias("place"), F.col("o_orderkey").alias("following"))
+        own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+        o = placed.withColumn("own", F.lead("o_orderkey").over(own)).withColumn("first", F.first("o_orderkey").over(own)).join(after, "place", "left")
+        o = o.select(F.col("o_orderkey").alias("id"), "own", "first", "following", F.expr("o_orderpriority = '1-URGENT' AS urgent"), F.expr("o_totalprice >= 450000 AS dear"))
+        return spark.sql(arcs.replace(" FROM o ", " FROM {o} "), o=o).hint("rebalance")
+
+    name = "own" if arcs is OWN_ORDERS else "all"
+    edges = stored_once(spark, (sf_dir, name, "orders"), [f"{sf_dir}/orders.parquet"], lambda: Graph.of(made()).edges)
+    return Graph.of(edges, spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id")))
+
+
+@query(f"""WITH RECURSIVE {ORDERED}, e AS MATERIALIZED ({OWN_ORDERS}), r(src, dst, d) USING KEY (src, dst) AS (
+  SELECT src, dst, 1 FROM e
+  UNION
+  SELECT r.src, e.dst, min(r.d) + 1 FROM r JOIN e ON r.dst = e.src
+  WHERE e.dst <> r.src AND NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.src = r.src AND k.dst = e.dst) GROUP BY 1, 2)
+SELECT id AS src, CAST(coalesce(max(d), 0) AS BIGINT) AS ecc, CAST(coalesce(sum(d), 0) AS BIGINT) AS dist_sum, count(d) AS reach FROM o LEFT JOIN r ON id = r.src GROUP BY id""")
+def bfs_summary_by_chains(spark, sf_dir):
+    """From every order, by contraction of chains and rings."""
+    return traverse.bfs_summary(order_graph(spark, sf_dir, OWN_ORDERS), strategy="chains")
+
+
+@query(f"""WITH RECURSIVE {ORDERED}, e AS MATERIALIZED ({ALL_ORDERS}), s AS (SELECT id AS s FROM o WHERE place = 1), r(node, d) USING KEY (node) AS (
+  SELECT s, 0 FROM s
+  UNION
+  SELECT e.dst, min(r.d) + 1 FROM r JOIN e ON r.node = e.src WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.node = e.dst) GROUP BY 1)
+SELECT s AS src, node, CAST(d AS BIGINT) AS d FROM r, s WHERE d > 0""")
+def hop_distances_by_chains(spark, sf_dir):
+    """From the first order over hundreds of levels, which are few rounds in the contracted graph."""
+    g = order_graph(spark, sf_dir, ALL_ORDERS)
+    first = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.struct("o_orderdate", F.col("o_orderkey").alias("src")).alias("o"))
+    return traverse.hop_distances(g, first.agg(F.min("o").alias("o")).select("o.src"), strategy="chains")
+
+
 @query(head("users") + " SELECT dst AS src, src AS node, CAST(d AS BIGINT) AS d FROM r UNION ALL SELECT id, id, 0 FROM v")
 def ancestors(spark, sf_dir):
     g = load(spark, sf_dir, "users")
@@ -311,9 +381,43 @@ def lin_nieminen(spark, sf_dir):
     return centrality.indices(centrality.levels(load(spark, sf_dir, "cust")))
 
 
-@query()
+#: Registers of each vertex by distance, from the pairs: the running maxima that rise, as the sketches have them.
+SKETCHED = f""", a AS (SELECT src, dst, CAST(d AS BIGINT) AS d FROM r UNION ALL SELECT id, id, 0 FROM v),
+h AS (SELECT id, md5(CAST(id AS VARCHAR)) AS h FROM v),
+k AS (SELECT id, CAST('0x' || substr(h, 1, 4) AS BIGINT) % {1 << sketches.PRECISION} AS key, 49 - length(bin(CAST('0x' || substr(h, 5, 12) AS BIGINT))) AS rank FROM h),
+m AS (SELECT src, d, key, max(rank) AS value FROM a JOIN k ON a.dst = k.id GROUP BY src, d, key),
+u AS (SELECT *, max(value) OVER (PARTITION BY src, key ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM m),
+g AS (SELECT src, d, sum(pow(2.0, -value) - CASE WHEN old IS NULL THEN 0 ELSE pow(2.0, -old) END) AS more, count(*) - count(old) AS used FROM u WHERE old IS NULL OR value > old GROUP BY src, d),
+w AS (SELECT src, d, sum(more) OVER t AS powers, ({1 << sketches.PRECISION} - sum(used) OVER t)::DOUBLE / {1 << sketches.PRECISION} AS x FROM g WINDOW t AS (PARTITION BY src ORDER BY d)),
+z AS (SELECT src, d, {(1 << 2 * sketches.PRECISION) / (2 * math.log(2))!r}::DOUBLE / (powers + {1 << sketches.PRECISION}::DOUBLE * (x + {' + '.join(f'pow(x, {1 << (k + 1)}) * {1 << k}' for k in range(sketches.PRECISION + 6))})) AS within FROM w),
+f AS (SELECT src, d, within - lag(within) OVER (PARTITION BY src ORDER BY d) AS n FROM z),
+t AS (SELECT src, sum(n) AS reach, sum(d * n) AS dist_sum, sum(n / (1 + d)) AS h FROM f WHERE d > 0 GROUP BY src)"""
+
+
+@query(head("users") + SKETCHED + " SELECT v.id AS node, round(coalesce(reach, 0), 6) AS reach FROM v LEFT JOIN t ON v.id = t.src")
 def approx_reach(spark, sf_dir):
-    return centrality.approximate_reach(load(spark, sf_dir, "users"))
+    return centrality.approximate_reach(load(spark, sf_dir, "users")).withColumn("reach", F.round("reach", 6))
+
+
+@query(head("cust") + SKETCHED + """ SELECT v.id AS node, round(coalesce(reach, 0), 5) AS reach, round(coalesce(dist_sum, 0), 4) AS dist_sum,
+  round(CASE WHEN dist_sum > 0 THEN 1 / (dist_sum * (SELECT n FROM n)) END, 12) AS closeness, round(coalesce(h, 0) / (SELECT n FROM n), 9) AS harmonic,
+  round(CASE WHEN dist_sum > 0 THEN reach * reach / dist_sum END, 5) AS lin FROM v LEFT JOIN t ON v.id = t.src""")
+def approx_measures(spark, sf_dir):
+    """Every vertex's measures by one propagation of sketches."""
+    out = sketches.measures(load(spark, sf_dir, "cust"))
+    digits = {"reach": 5, "dist_sum": 4, "closeness": 12, "harmonic": 9, "lin": 5}
+    return out.select("node", *[F.round(c, k).alias(c) for c, k in digits.items()])
+
+
+@query(head("users") + " SELECT v.id AS node, least(v.id, min(a.dst)) AS component FROM v LEFT JOIN (SELECT a.src, a.dst FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src) a ON v.id = a.src GROUP BY v.id")
+def strong_components(spark, sf_dir):
+    return components.strong_components(load(spark, sf_dir, "users"))
+
+
+@query(head("users") + " SELECT dst AS node, count(*) AS reach FROM r GROUP BY dst")
+def node_reach_by_components(spark, sf_dir):
+    """Reach by the graph of strong components and their sizes."""
+    return components.reach_by_components(load(spark, sf_dir, "users"))
 
 
 NUMBERED = """WITH RECURSIVE e AS ({0}), s AS (SELECT {1} AS s),
@@ -506,7 +610,7 @@ def label_dictionary(spark, sf_dir):
     """A dictionary of labels written one a line and read again; the line number is the id."""
     path, names = _folder(spark), spark.read.parquet(f"{sf_dir}/nation.parquet")
     labels = running(names.select("n_nationkey", F.col("n_name").alias("label")), ["n_nationkey"], {}, "id").select("id", "label")
-    graphs.write_labels(labels.coalesce(1), path)
+    graphs.write_labels(labels, path)
     return graphs.read_labels(spark, path)
 
 
@@ -514,7 +618,7 @@ def label_dictionary(spark, sf_dir):
 def labelled_arcs(spark, sf_dir):
     """Arcs of labels written as lines, loaded with dense ids and named again."""
     path, t = _folder(spark), spark.read.parquet(f"{sf_dir}/nation.parquet")
-    t.orderBy("n_nationkey").select(F.concat(F.lit("c"), "n_regionkey", F.lit("\t"), "n_name")).coalesce(1).write.text(path)
+    t.orderBy("n_nationkey").select(F.concat(F.lit("c"), "n_regionkey", F.lit("\t"), "n_name")).write.text(path)
     g, labels = Graph.from_label_file(spark, path)
     return graphs.decode(graphs.decode(g.edges, labels, "src"), labels, "dst")
 
@@ -522,17 +626,17 @@ def labelled_arcs(spark, sf_dir):
 @query(plain("cust") + " SELECT 'arcs' AS key, CAST((SELECT count(*) FROM e) AS VARCHAR) AS value UNION ALL SELECT 'nodes', CAST((SELECT count(*) FROM v) AS VARCHAR)")
 def properties(spark, sf_dir):
     """A graph's properties written as a file and read again."""
-    path, row = _folder(spark), load(spark, sf_dir, "cust").size().first()
-    spark.createDataFrame([("# made here",), (f"nodes={row['n_vertices']}",), (f"arcs = {row['n_arcs']}",)], "value STRING").coalesce(1).write.text(path)
-    return spark.createDataFrame(sorted(graphs.read_properties(spark, path).items()), "key STRING, value STRING")
+    path, size = _folder(spark), load(spark, sf_dir, "cust").size()
+    pairs = size.select(F.expr("stack(2, 'nodes', CAST(n_vertices AS STRING), 'arcs', CAST(n_arcs AS STRING)) AS (key, value)"))
+    graphs.write_properties(pairs, path, "made here")
+    return graphs.read_properties(spark, path)
 
 
 @query("SELECT c_custkey AS node, CAST(c_acctbal AS DOUBLE) AS value FROM customer")
 def stored_vector(spark, sf_dir):
-    """A measure per vertex written as one bracketed line, and read again."""
-    path, t = _folder(spark), spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_acctbal").cast("double").cast("string").alias("x"))
-    line = t.agg(F.concat(F.lit("["), F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "x"))), lambda r: r["x"])), F.lit("]")).alias("value"))
-    line.coalesce(1).write.text(path)
+    """A measure per vertex written as bracketed lines, and read again."""
+    path, t = _folder(spark), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    graphs.write_vector(t.select(F.col("c_custkey").alias("node"), F.col("c_acctbal").cast("double").alias("value")), path, 1000)
     return graphs.read_vector(spark, path)
 
 
@@ -553,20 +657,27 @@ def ranked_report(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS src, i AS dst FROM range(1, 1001) t(i) UNION ALL SELECT i, i + 1000 FROM range(1, 1001) t(i)")
+def _many(spark, sf_dir, name) -> int:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+
+
+@query("SELECT CAST(0 AS BIGINT) AS src, i AS dst FROM range(1, (SELECT count(*) + 1 FROM customer)) t(i) UNION ALL SELECT i, i + (SELECT count(*) FROM customer) FROM range(1, (SELECT count(*) + 1 FROM customer)) t(i)")
 def star_graph(spark, sf_dir):
-    return graphs.star(spark, 1000).edges
+    """A star with a spoke for each customer."""
+    return graphs.star(spark, _many(spark, sf_dir, "customer")).edges
 
 
-@query("""SELECT a AS src, b AS dst FROM range(300) s(a), range(300) t(b)
+@query("""SELECT a AS src, b AS dst FROM range((SELECT count(*) FROM supplier)) s(a), range((SELECT count(*) FROM supplier)) t(b)
 WHERE a <> b AND (a * 7919 + b * 104729 + (a * b) % 10007 * 31337 + 42) % 1000003 < CAST(0.01::DOUBLE * 1000003 AS BIGINT)""")
 def gnp_graph(spark, sf_dir):
-    return graphs.gnp(spark, 300, 0.01).edges
+    """A random graph with a vertex for each supplier."""
+    return graphs.gnp(spark, _many(spark, sf_dir, "supplier"), 0.01).edges
 
 
 @query()
 def barabasi_graph(spark, sf_dir):
-    return graphs.dual_barabasi_albert(spark, 1000, 10).edges
+    """Preferential attachment with a vertex for each customer."""
+    return graphs.dual_barabasi_albert(spark, _many(spark, sf_dir, "customer"), 10).edges
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('error', 'click') GROUP BY event_type")

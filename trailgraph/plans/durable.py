@@ -54,7 +54,7 @@ def _write(df: DataFrame, name: str) -> str:
 TABLES = "tables"
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
     """The file system of a path, and the path as it takes it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -62,7 +62,9 @@ def _files(spark: SparkSession, path: str):
 
 def forget(spark: SparkSession) -> None:
     """Removes all stored tables of the shared folder, once no result is to be read from them any more."""
-    files, where = _files(spark, f"{shared_dir(spark)}/{TABLES}")
+    for table in spark.catalog.listTables(pattern="trailgraph_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    files, where = files_of(spark, f"{shared_dir(spark)}/{TABLES}")
     files.delete(where, True)
 
 
@@ -70,12 +72,12 @@ def stored_once(spark: SparkSession, key: tuple[str, ...], inputs: list[str], ma
     """stored(make()), made once a session for a key, as long as the files of the paths `inputs` and the stored table stay."""
     found = []
     for path in inputs:
-        files, where = _files(spark, path)
+        files, where = files_of(spark, path)
         found += [f"{x.getPath()}:{x.getLen()}:{x.getModificationTime()}" for x in files.listStatus(where)]
     full = (spark.sparkContext.applicationId, shared_dir(spark), *key, *found)
     if full in _kept:
         path, schema = _kept[full]
-        files, where = _files(spark, path)
+        files, where = files_of(spark, path)
         if files.exists(where):
             return spark.read.schema(schema).parquet(path)
     out = make()

@@ -56,8 +56,8 @@ class Graph:
     @classmethod
     def from_label_file(cls, spark: SparkSession, path: str, sep: str = "\t") -> tuple[Graph, DataFrame]:
         """Arcs of labels from a text file, one a line, in the file's order."""
-        lines = spark.sparkContext.textFile(path).zipWithIndex().toDF("line STRING, pos BIGINT")
-        parts = F.split("line", sep, 2)
+        lines = numbered_lines(spark, path)
+        parts = F.split("value", sep, 2)
         return cls.from_labels(lines.where(F.size(parts) == 2).select("pos", parts[0].alias("a"), parts[1].alias("b")))
 
     def transpose(self) -> Graph:
@@ -96,12 +96,22 @@ class Graph:
             raise ValueError(f"not a graph and its transpose: {a} and {b}")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, pos: the lines of a text file or folder with their numbers from 0, over the files in order of name.
+
+    A part of a file is read in order by one task, so file, part and place within the task are the order of the lines.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    return running(stored(lines, "lines"), ["file", "start", "place"], {}).select("value", "pos")
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """A dictionary with one label a line; the line number is the id."""
-    return spark.sparkContext.textFile(path).zipWithIndex().toDF("label STRING, id BIGINT").select("id", "label")
+    """A dictionary with one label a line; the line number is the id. A folder's files are one dictionary, in order of name."""
+    return numbered_lines(spark, path).select(F.col("pos").alias("id"), F.col("value").alias("label"))
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
+    """Writes a dictionary (id, label) as lines in order of id, over several files whose names are in that order."""
     labels.orderBy("id").select("label").write.text(path)
 
 
@@ -112,16 +122,38 @@ def decode(df: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return both.select(*[F.col("__label").alias(c) if c == column else F.col(c) for c in df.columns])
 
 
-def read_properties(spark: SparkSession, path: str) -> dict[str, str]:
-    """The pairs of a small file of lines key=value; lines that begin with # are comments."""
-    lines = spark.read.text(path).where("value LIKE '%=%' AND value NOT LIKE '#%'").select(F.split("value", "=", 2).alias("p"))
-    return {r["p"][0].strip(): r["p"][1].strip() for r in lines.collect()}
+def read_properties(spark: SparkSession, path: str) -> DataFrame:
+    """key, value of the lines key=value of a file; lines that begin with # are comments. Of a repeated key, the last one holds."""
+    lines = numbered_lines(spark, path).where("value LIKE '%=%' AND value NOT LIKE '#%'").select("pos", F.split("value", "=", 2).alias("p"))
+    pairs = lines.select("pos", F.btrim(F.col("p")[0]).alias("key"), F.btrim(F.col("p")[1]).alias("value"))
+    return pairs.groupBy("key").agg(F.max_by("value", "pos").alias("value"))
+
+
+def write_properties(pairs: DataFrame, path: str, comment: str | None = None) -> None:
+    """Writes key, value as lines key=value."""
+    lines = pairs.select(F.concat("key", F.lit("="), "value").alias("value"))
+    if comment:
+        lines = pairs.sparkSession.range(1).select(F.lit(f"# {comment}").alias("value")).union(lines)
+    lines.write.text(path)
+
+
+#: Values of a line of a stored vector.
+VECTOR_BLOCK = 65_536
 
 
 def read_vector(spark: SparkSession, path: str) -> DataFrame:
-    """Per-vertex measures stored as one bracketed, comma-separated line: node, value."""
-    one = spark.read.text(path).select(F.posexplode(F.from_json("value", "array<double>")).alias("node", "value"))
-    return one.select(F.col("node").cast("long").alias("node"), "value")
+    """Per-vertex measures stored as bracketed, comma-separated lines: node, value. The lines, often one alone, follow each other."""
+    lines = numbered_lines(spark, path).select("pos", F.from_json("value", "array<double>").alias("values")).where("values IS NOT NULL")
+    placed = running(lines.withColumn("size", F.size("values").cast("long")), ["pos"], {"upto": "size"}, "line")
+    one = placed.select((F.col("upto") - F.col("size")).alias("before"), F.posexplode("values").alias("k", "value"))
+    return one.select((F.col("before") + F.col("k")).alias("node"), "value")
+
+
+def write_vector(values: DataFrame, path: str, block: int = VECTOR_BLOCK) -> None:
+    """Writes node, value (nodes 0 to n - 1) as bracketed lines in order, `block` values a line; a null value is null."""
+    text = F.coalesce(F.col("value").cast("string"), F.lit("null"))
+    lines = values.groupBy(F.floor(F.col("node") / block).alias("line")).agg(F.array_sort(F.collect_list(F.struct("node", text.alias("x")))).alias("own"))
+    lines.orderBy("line").select(F.concat(F.lit("["), F.array_join(F.transform("own", lambda r: r["x"]), ", "), F.lit("]")).alias("value")).write.text(path)
 
 
 def read_centrality(spark: SparkSession, path: str) -> DataFrame:

@@ -35,21 +35,26 @@ def windowed_counts(stream: DataFrame, time: str, width: str, late: str) -> Data
 class RunningAverages:
     """A foreachBatch sink that keeps the running mean and deviation of (norm, diameter) rows in a table, one row per batch.
 
-    The state is three sums per measure, so a batch costs its own rows only. A repeated batch id is the same batch again.
+    A batch's row has number, mean and summed squares about the mean of each measure, so a batch costs its own rows only and
+    large values with a small spread keep it. A repeated batch id is the same batch again.
     """
 
     def __init__(self, path: str):
         self.path = path
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        own = rows.agg(*[f(c).alias(f"{k}_{c}") for c in ("norm", "diameter") for k, f in (("n", F.count), ("sum", F.sum), ("squares", lambda c: F.sum(F.col(c) * F.col(c))))])
+        own = rows.agg(*[x.alias(f"{k}_{c}") for c in ("norm", "diameter") for k, x in (("n", F.count(c)), ("mean", F.avg(c)), ("squares", F.var_pop(c) * F.count(c)))])
         own.select(F.lit(batch).cast("long").alias("batch"), "*").write.mode("overwrite").parquet(f"{self.path}/batch={batch}/")
 
     def averages(self, spark: SparkSession) -> DataFrame:
-        """average, spread, diameter, diameter_spread over all batches so far."""
-        total = spark.read.option("recursiveFileLookup", "true").parquet(self.path)
+        """average, spread, diameter, diameter_spread over all batches so far; the spread of one value is NaN."""
+        parts = spark.read.option("recursiveFileLookup", "true").parquet(self.path)
+        names = (("norm", "average", "spread"), ("diameter", "diameter", "diameter_spread"))
+        whole = parts.agg(*[F.try_divide(F.sum(F.col(f"n_{c}") * F.col(f"mean_{c}")), F.sum(f"n_{c}")).alias(mean) for c, mean, _ in names]).first()
         out = []
-        for c, mean, spread in (("norm", "average", "spread"), ("diameter", "diameter", "diameter_spread")):
-            n, s, q = F.sum(f"n_{c}"), F.sum(f"sum_{c}"), F.sum(f"squares_{c}")
-            out += [F.try_divide(s, n).alias(mean), F.sqrt(F.greatest(F.lit(0.0), F.try_divide(q - F.try_divide(s * s, n), n - 1))).alias(spread)]
-        return total.agg(*out)
+        for c, mean, spread in names:
+            away = F.col(f"mean_{c}") - F.lit(whole[mean])
+            squares = F.sum(F.col(f"squares_{c}") + F.col(f"n_{c}") * away * away)
+            alone = F.when(F.sum(f"n_{c}") == 1, F.lit(float("nan")))
+            out += [F.lit(whole[mean]).cast("double").alias(mean), alone.otherwise(F.sqrt(F.try_divide(squares, F.sum(f"n_{c}") - 1))).alias(spread)]
+        return parts.agg(*out)
