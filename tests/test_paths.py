@@ -51,3 +51,29 @@ def test_errors_and_bounds(graph):
         paths.simple_paths(g, 0, 1, "other")
     assert found(paths.simple_paths(g, 0, 2, max_length=1)) == {(0, 2)}
     assert paths.count_paths(g, 0, 2).first()["paths"] == 2
+
+
+def grid(side):
+    at = lambda r, c: r * side + c
+    return [(at(r, c), at(r, c + 1)) for r in range(side) for c in range(side - 1)] + [(at(r, c), at(r + 1, c)) for r in range(side - 1) for c in range(side)]
+
+
+def test_counts_without_listing(graph):
+    g = graph(grid(4))
+    assert paths.count_all_paths(g, 0, 15).first()["paths"] == len(found(paths.simple_paths(g, 0, 15, "forward"))) == 184
+    arcs = [(0, 1), (0, 2), (1, 3), (2, 1), (2, 3), (3, 4), (1, 4), (4, 5)]
+    for target in (3, 4, 5):
+        h = graph(arcs)
+        assert paths.count_all_paths(h, 0, target).first()["paths"] == len(found(paths.simple_paths(h, 0, target, "forward")))
+    with pytest.raises(ValueError):
+        paths.count_all_paths(h, 0, 0)
+    with pytest.raises(ValueError):
+        paths.count_all_paths(graph([(0, 1), (2, 3)]), 0, 3)
+
+
+def test_states_are_as_wide_as_the_frontier():
+    """A grid of 5 x 5 with 40 arcs: at most its side and an end or two, and no vertex before it is touched."""
+    arcs = sorted(grid(5), key=lambda a: (sum(divmod(a[0], 5)), a))
+    order = {v: i + 1 for i, v in enumerate(sorted({v for a in arcs for v in a}, key=lambda v: (sum(divmod(v, 5)), v)))}
+    steps = paths.Steps([(order[a], order[b]) for a, b in arcs], order[24])
+    assert max(len(steps.frontier(i)) for i in range(41)) <= 7 and steps.start() == [order[24], 1] and steps.frontier(40) == []

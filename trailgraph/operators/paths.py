@@ -6,6 +6,9 @@ keeps the arcs to a higher number, and reads those as undirected edges; on symme
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,57 +90,106 @@ def simple_paths(graph: Graph, source: int, target: int, mode: str = "directed",
     return _walks(edges, source, target, max_length)
 
 
-def _set(mate: Column, at: Column, value: Column) -> Column:
-    return F.transform(mate, lambda x, i: F.when(i + 1 == at, value).otherwise(x))
+#: Key of a state from which the path is complete, and marks of the two ends of the diagram.
+DONE = [-1]
+#: Arcs that one job of a count takes.
+ARCS_AT_ONCE = 8
+
+
+@dataclass
+class Steps:
+    """The arcs of a diagram in order, as numbers (j, k), and which vertices a state knows before each.
+
+    The frontier before an arc is the source, the target and all vertices that an arc before touched, as long as an arc from
+    there on touches them. A state holds their mates in that order and nothing else: itself if untouched, the other end of its
+    fragment, or 0 inside one. Source and target begin as mates, so a path closes a ring.
+    """
+
+    arcs: list[tuple[int, int]]
+    goal: int
+
+    def __post_init__(self):
+        self.last = {v: i for i, step in enumerate(self.arcs) for v in step}
+        self.first = {v: i for i, step in reversed(list(enumerate(self.arcs))) for v in step} | {1: -1, self.goal: -1}
+
+    def frontier(self, i: int) -> list[int]:
+        return sorted(v for v, at in self.first.items() if at < i <= self.last[v])
+
+    def start(self) -> list[int]:
+        return [self.goal if v == 1 else 1 for v in self.frontier(0)]
+
+    def children(self, i: int, mate: Column) -> tuple[Column, Column]:
+        """The states after arc i without and with it; null is false, DONE true."""
+        (j, k), before, after = self.arcs[i], self.frontier(i), self.frontier(i + 1)
+        known = {v: F.get(mate, F.lit(p)) for p, v in enumerate(before)} | {v: F.lit(v) for v in self.arcs[i] if v not in before}
+        mj, mk = known[j], known[k]
+
+        def state(mates: dict[int, Column]) -> Column:
+            """Null if a vertex that goes is a fragment's end, or none is left."""
+            out = F.array(*[mates[v].cast("int") for v in after]) if after else F.lit(None).cast("array<int>")
+            for v in set(mates) - set(after):
+                out = F.when(mates[v].isin(0, v), out)
+            return out
+
+        joined = {v: F.when(mj == v, mk).when(mk == v, mj).otherwise(m) for v, m in known.items()}
+        for v, m in ((j, mj), (k, mk)):
+            joined[v] = F.when(m != v, F.lit(0)).otherwise(joined[v])
+        alone = reduce(Column.__and__, [m.isin(0, v) for v, m in known.items() if v not in (j, k)], F.lit(True))
+        done = F.array(*[F.lit(x) for x in DONE])
+        hi = F.when((mj == 0) | (mk == 0), None).when((mj == k) & (mk == j), F.when(alone, done)).otherwise(state(joined))
+        return state(known), hi
+
+
+def _steps(arcs: DataFrame, target: int) -> Steps:
+    """The arcs of a diagram, which its rounds follow one by one: meant for small components."""
+    ends = arcs.where(F.col("dst") == target).select("k").first()
+    if ends is None:
+        raise ValueError(f"no path to {target}")
+    return Steps([tuple(r) for r in arcs.orderBy("arc").select("j", "k").collect()], ends["k"])
 
 
 def diagram(graph: Graph, source: int, target: int, members: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The reduced decision diagram (id, var, lo, hi) of the forward arcs' sets that are paths from source to target, and the arcs.
 
-    Layers follow the arcs. A state is the mate of each vertex by number: itself if untouched, the other end of its fragment,
-    or 0 once inside a fragment or gone. Source and target begin as mates, so a path closes a cycle. Equal states of a layer
-    are one row. Terminals are 0 (false) and 1 (true); a node's var is its arc's number. States can grow exponentially with
-    the frontier's width: meant for small components; simple_paths needs no diagram.
+    Layers follow the arcs, equal states of a layer are one row, and a state is as wide as the frontier. Terminals are 0 (false)
+    and 1 (true); a node's var is its arc's number. States can grow exponentially with the frontier's width: meant for small
+    components; simple_paths needs no diagram, and count_all_paths no nodes.
     """
     _check(graph, source, target)
     arcs = stored(forward_arcs(graph, source, members), "arcs")
-    steps = [tuple(r) for r in arcs.orderBy("arc").select("j", "k").collect()]  # a round for each
-    ends = arcs.where(F.col("dst") == target).select("k").first()
-    if ends is None:
-        raise ValueError(f"no path from {source} to {target}")
-    goal, n = ends["k"], max(k for _, k in steps)
-    last = {v: i for i, step in enumerate(steps) for v in step}
-    start = list(range(1, n + 1))
-    start[0], start[goal - 1] = goal, 1
-    false, true = F.lit("0"), F.lit("1")
-    states = graph.spark.createDataFrame([(start,)], "mate ARRAY<INT>")
+    steps = _steps(arcs, target)
+    states = graph.spark.createDataFrame([(steps.start(),)], "mate ARRAY<INT>")
+    name = lambda c: F.when(c.isNull(), "0").when(c == F.array(*[F.lit(x) for x in DONE]), "1").otherwise(F.concat(F.lit("m"), F.array_join(c.cast("array<string>"), ",")))
     layers = []
-    for i, (j, k) in enumerate(steps):
-        gone = [v for v in (j, k) if last[v] == i]
-        mj, mk = F.element_at("mate", j), F.element_at("mate", k)
-        closes = (mj == k) & (mk == j)
-        alone = ~F.exists(F.transform(F.col("mate"), lambda x, p: (x != 0) & (x != p + 1) & ~(p + 1).isin(j, k)), lambda x: x)
-        joined = _set(_set(F.col("mate"), mj, mk), mk, mj)
-        joined = F.transform(joined, lambda x, p: F.when(((p + 1 == j) & (mj != j)) | ((p + 1 == k) & (mk != k)), F.lit(0)).otherwise(x).cast("int"))
-
-        def child(mate: Column) -> Column:
-            """The state's key in the next layer: false if a vertex that goes is a fragment's end."""
-            dangling = [(F.element_at(mate, v) != 0) & (F.element_at(mate, v) != v) for v in gone]
-            after = F.transform(mate, lambda x, p: F.when((p + 1).isin(*gone), F.lit(0)).otherwise(x)) if gone else mate  # noqa: B023
-            key = F.concat_ws(",", after.cast("array<string>"))
-            for d in dangling:
-                key = F.when(d, false).otherwise(key)
-            return key if i + 1 < len(steps) else false  # noqa: B023
-
-        hi = F.when((mj == 0) | (mk == 0), false).when(closes, F.when(alone, true).otherwise(false)).otherwise(child(joined))
-        key = F.concat_ws(",", F.col("mate").cast("array<string>"))
-        layer = stored(states.select(F.lit(i + 1).alias("var"), key.alias("key"), child(F.col("mate")).alias("lo"), hi.alias("hi")), "layer")
-        layers.append(layer)
-        states = layer.select(F.explode(F.array("lo", "hi")).alias("key")).where("key NOT IN ('0', '1')").distinct()
-        states = states.select(F.split("key", ",").cast("array<int>").alias("mate"))
+    for i in range(len(steps.arcs)):
+        lo, hi = steps.children(i, F.col("mate"))
+        layer = states.select(F.lit(i + 1).alias("var"), name(F.col("mate")).alias("key"), name(lo).alias("lo"), name(hi).alias("hi"))
+        layers.append(stored(layer, "layer"))
+        states = layers[-1].select(F.explode(F.array("lo", "hi")).alias("key")).where("key NOT IN ('0', '1')").distinct()
+        states = states.select(F.split(F.substr("key", F.lit(2)), ",").cast("array<int>").alias("mate"))
     return _reduced(layers), arcs
 
 
+def count_all_paths(graph: Graph, source: int, target: int, members: DataFrame | None = None) -> DataFrame:
+    """paths: how many simple paths lead from source to target over forward arcs, of any length and without listing any.
+
+    Ways into equal states are added up, arc by arc, several arcs a job, as whole numbers of 38 digits; more raise. Raises as
+    diagram does. Work is by the number of states of a frontier, not by the number of paths.
+    """
+    _check(graph, source, target)
+    steps = _steps(stored(forward_arcs(graph, source, members), "arcs"), target)
+    states = graph.spark.createDataFrame([(steps.start(), 1)], "mate ARRAY<INT>, ways LONG").select("mate", F.col("ways").cast("decimal(38,0)").alias("ways"))
+    done = F.array(*[F.lit(x) for x in DONE])
+    for i in range(len(steps.arcs)):
+        lo, hi = steps.children(i, F.col("mate"))
+        after = F.when(F.col("mate") == done, F.array(done)).otherwise(F.array(lo, hi))
+        states = states.select(F.explode(after).alias("mate"), "ways").where("mate IS NOT NULL")
+        states = states.groupBy("mate").agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))
+        if (i + 1) % ARCS_AT_ONCE == 0:
+            states = stored(states, "states")
+    return states.where(F.col("mate") == done).agg(F.coalesce(F.sum("ways"), F.lit(0)).cast("decimal(38,0)").alias("paths"))
+
+
 def _reduced(layers: list[DataFrame]) -> DataFrame:
     """Bottom-up: nodes whose hi is false give way to their lo, and equal nodes of a layer are one."""
     spark = layers[0].sparkSession

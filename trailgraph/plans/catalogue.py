@@ -536,6 +536,26 @@ def zdd_paths(spark, sf_dir):
     return paths.decode(nodes, arcs, source).select(F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
 
 
+#: Nations as a grid, a row per region: arcs to the next of the region, and to the one at the same place in the next region.
+GRID = """n AS (SELECT n_nationkey AS id, n_regionkey AS row, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM nation),
+e AS (SELECT a.id AS src, b.id AS dst FROM n a JOIN n b ON (a.row = b.row AND b.place = a.place + 1) OR (a.place = b.place AND b.row = a.row + 1)),
+en AS (SELECT (SELECT id FROM n ORDER BY row, place LIMIT 1) AS s, (SELECT id FROM n ORDER BY row DESC, place DESC LIMIT 1) AS t)"""
+
+
+@query(f"""WITH RECURSIVE {GRID}, u AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e),
+p AS (SELECT [s] AS path, s AS tip FROM en UNION ALL SELECT list_append(path, u.dst), u.dst FROM p JOIN u ON p.tip = u.src, en WHERE p.tip <> t AND NOT list_contains(path, u.dst))
+SELECT CAST(count(*) AS DECIMAL(38, 0)) AS paths FROM p, en WHERE tip = t""")
+def count_grid_paths(spark, sf_dir):
+    """All simple paths between the corners of the nations' grid, of any length, counted on states without listing one."""
+    t = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("row"))
+    n = stored(t.withColumn("place", F.row_number().over(Window.partitionBy("row").orderBy("id"))), "grid")
+    a, b = n.select(F.col("id").alias("src"), "row", "place"), n.select(F.col("id").alias("dst"), "row", "place")
+    right = a.join(b.withColumn("place", F.col("place") - 1), ["row", "place"])
+    down = a.join(b.withColumn("row", F.col("row") - 1), ["row", "place"])
+    ends = n.agg(F.min_by("id", F.struct("row", "place")), F.max_by("id", F.struct("row", "place"))).first()
+    return paths.count_all_paths(Graph.of(right.union(down)), *ends)
+
+
 #: Draws of the samplers: in the transpose, v is kept if w reaches it.
 CLOSE_DRAWS = f""", k AS (SELECT CAST(ceil(6.907::DOUBLE / (2 * 0.2::DOUBLE * 0.2::DOUBLE)) AS BIGINT) AS k),
 x AS (SELECT i, {sampling.draw_sql('i', sampling.FIRST, 42)} % n AS v, {sampling.draw_sql('i', sampling.SECOND, 43)} % n AS w FROM n, k, range(16384) t(i) WHERE i < 4 * k),
