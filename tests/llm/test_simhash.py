@@ -194,3 +194,16 @@ def test_large_groups_of_near_copies_around_one(spark, sets_tile):
     assert sum(like(60, k) for k in range(60)) == 60 and not all(like(0, k) for k in range(60))
     out = {r["doc_id"]: r["component_id"] for r in simhash.alike(df, sets_tile=sets_tile).collect()}
     assert out == {**{k: 0 for k in range(61)}, **{100 + k: 100 + k for k in range(20)}}
+
+
+def test_one_id_with_texts_that_differ(spark):
+    """Rows of one id are grouped each by its own fingerprint, whether one of them equals another document's or is a bit off."""
+    words = [f"word{i}" for i in range(400)]
+    one, near = " ".join(words), " ".join([*words[:-1], "other"])
+    far = " ".join(f"else{i}" for i in range(400))
+    bits = {t: r["f0"] for t, r in zip((one, near), simhash.similar(spark.createDataFrame([(1, one), (2, near)], "doc_id LONG, text STRING")).orderBy("doc_id").collect(), strict=True)}
+    assert 0 < bin((bits[one] ^ bits[near]) & (1 << 64) - 1).count("1") <= 2
+    for linked in (one, near):
+        df = spark.createDataFrame([(1, one), (5, linked), (5, far), (7, far)], "doc_id LONG, text STRING")
+        got = sorted((r["doc_id"], r["f0"] == bits[linked] or r["f0"] == bits[one], r["component_id"]) for r in simhash.similar(df).collect())
+        assert got == [(1, True, 1), (5, False, 5), (5, True, 1), (7, False, 5)]

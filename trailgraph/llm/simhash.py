@@ -186,22 +186,25 @@ def similar(docs: DataFrame, shingle: int = 3, parts: int = 1, segment_count: in
     found = fingerprinted(docs, shingle, parts)
     names, ring = [f"f{k}" for k in range(parts)], segments(parts, segment_count)
     chain = len(ring) if chain is None else chain
-    classes = stored(found.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "classes")
+    classes = found.groupBy(*names).agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL")
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     value = lambda k: F.shiftrightunsigned(F.col(f"f{ring[k][0]}"), ring[k][1]).bitwiseAND(F.lit((1 << ring[k][2]) - 1))
     keys = F.array(*[(value(k) * len(ring) + k) for k in range(len(ring))])
-    dealt = dealt_out(classes.select("rep", *names, F.explode(keys).alias("key")), names, tile)
-    kind = dict(classes.dtypes)["rep"]
+    dealt = dealt_out(classes.select("id", *names, F.explode(keys).alias("key")), names, tile)
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
-        rep = rows["rep"].to_numpy()
+        rep = rows["id"].to_numpy()
         root = compared(rows["key"].to_numpy(), rows[names].to_numpy().view(np.uint64), ring, distance, chain)
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pd.DataFrame({"a": rep[moved], "b": rep[root[moved]]})
 
     shuffled = dealt.repartition("key").sortWithinPartitions("key")
-    component = connected(shuffled.mapInPandas(by_group(links), f"a {kind}, b {kind}"))
-    classes = classes.join(component, F.col("rep") == F.col("node"), "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    component = connected(shuffled.mapInPandas(by_group(links), "a long, b long"))
+    # Components of fingerprints, then their smallest doc_id: one id may have several fingerprints, which it doesn't link.
+    classes = classes.join(component, F.col("id") == F.col("node"), "left").withColumn("group", F.coalesce("component", "id"))
+    least = classes.groupBy("group").agg(F.min("rep").alias("component_id"))
+    classes = classes.join(least, "group").select(*names, "component_id")
     return found.join(classes, names, "left").select("doc_id", *names, "component_id")
 
 

@@ -128,8 +128,8 @@ def near(rows: DataFrame, threshold: float = 0.95, block: int = BLOCK) -> DataFr
 
     Returns vec_id, n_links (other rows linked directly), component_id (the smallest vec_id that links reach) and kept (whether
     it is the row's own). Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
-    their own component; the smallest and largest finite numbers are compared as any. Shorter vectors are compared as if filled up with zeros. Rows of one vec_id are one node, each
-    counting as a link of the others it equals; a null vec_id is kept only where it links with no id. An empty table gives no
+    their own component; the smallest and largest finite numbers are compared as any. Shorter vectors are compared as if filled up with zeros. Rows are nodes, each by its own
+    vector, also where they share a vec_id: rows of one id that don't link may be in different components. A null vec_id is kept only where it links with no id. An empty table gives no
     rows; other columns are ignored.
     """
     spark = rows.sparkSession
