@@ -60,13 +60,26 @@ def test_thresholds_adapt_and_keep_clean_documents(docs, spark, sf_dir):
     assert not got[(0, "p")] and got[(1, "p")] and got[(0, "m")]  # as usual as its source
 
 
+def rounded(value):
+    x = math.floor(value * 2**20)
+    out = x >> max(x.bit_length() - 10, 0) << max(x.bit_length() - 10, 0)
+    assert out <= x and x - out <= x / 500
+    return out / 2**20
+
+
+def test_thresholds_agree_however_rows_are_dealt(docs):
+    found = rules.measured(docs, ["doc_id"])
+    runs = [{tuple(r) for r in rules.thresholds(found.repartition(n, *key)).collect()} for n, key in ((1, []), (7, []), (13, ["n_words"]))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 10
+
+
 def test_verdicts_and_thresholds_match_plain_quartiles(docs):
-    """Sketches of so few values are exact but for the rank that a quartile takes; verdicts follow from thresholds alone."""
+    """Quartiles are those of the values rounded down to ten leading bits; verdicts follow from thresholds alone."""
     found = rules.measured(docs, ["doc_id"]).toPandas()
     limits = {(r["lang"], r["source"]): r for r in rules.thresholds(rules.measured(docs, ["doc_id"])).collect()}
 
     def limit(rows, ratio, spread):
-        quarter = lambda q: sorted(rows[ratio])[max(0, math.ceil(q * len(rows)) - 1)]
+        quarter = lambda q: rounded(sorted(rows[ratio])[max(0, math.ceil(q * len(rows)) - 1)])
         return quarter(0.75) + rules.FENCE * max(quarter(0.75) - quarter(0.25), spread)
 
     for (lang, source), rows in found.groupby(["lang", "source"], dropna=False):
@@ -96,5 +109,7 @@ def test_columns_with_dots(docs):
 
 
 def test_no_python(docs):
-    plan = rules.measured(docs, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    found = rules.measured(docs, ["doc_id"])
+    for step in (found, rules.thresholds(found), rules.judge(docs, ["doc_id"]), rules.filter_documents(docs)):
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan

@@ -175,6 +175,42 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, ve
 FROM v JOIN c USING (id) LEFT JOIN n USING (id)
 """
 
+# Windows of eight words by their md5; sketches as rows of (group, ratio, bucket, number).
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rk, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+m AS MATERIALIZED (SELECT rk, doc_id, lang, source, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols FROM d),
+e AS (SELECT rk, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM m),
+g AS (SELECT rk, i, lead(word, 7) OVER p AS last, concat_ws(' ', word, lead(word, 1) OVER p, lead(word, 2) OVER p, lead(word, 3) OVER p,
+    lead(word, 4) OVER p, lead(word, 5) OVER p, lead(word, 6) OVER p, lead(word, 7) OVER p) AS x FROM e WINDOW p AS (PARTITION BY rk ORDER BY i)),
+t AS (SELECT rk, i FROM (SELECT rk, i, md5_number(x) AS h FROM g WHERE last IS NOT NULL) q QUALIFY count(*) OVER (PARTITION BY rk, h) > 1),
+s AS (SELECT rk, CAST(sum(least(8, coalesce(next - i, 8))) AS BIGINT) AS n
+  FROM (SELECT rk, i, lead(i) OVER (PARTITION BY rk ORDER BY i) AS next FROM t) q GROUP BY rk),
+c AS (SELECT m.rk, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(s.n, 0) AS n_repeat_words
+  FROM m LEFT JOIN s ON s.rk = m.rk),
+v AS MATERIALIZED (SELECT *, CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END AS symbol_ratio,
+    CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_ratio,
+    CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_ratio,
+    CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0 END AS mean_word FROM c),
+x AS (SELECT rk, lang, source, unnest([0, 1, 2, 3]) AS k, unnest([symbol_ratio, repeat_ratio, dup_line_ratio, mean_word]) AS ratio FROM v),
+y AS (SELECT lang, source, k, CAST(floor(ratio * 1048576) AS BIGINT) AS part FROM x),
+z AS (SELECT lang, source, k, part - part % (1::BIGINT << greatest(length(bin(part)) - 10, 0)) AS bucket FROM y),
+own AS MATERIALIZED (SELECT lang, source, k, bucket, count(*) AS n FROM z GROUP BY lang, source, k, bucket),
+both_ AS (SELECT true AS own, lang, source, k, bucket, n FROM own UNION ALL SELECT false, lang, null, k, bucket, sum(n) FROM own GROUP BY lang, k, bucket),
+u AS (SELECT *, sum(n) OVER (PARTITION BY own, lang, source, k ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY own, lang, source, k) AS total FROM both_),
+q AS (SELECT own, lang, source, k, CAST(max(total) AS DOUBLE) AS n, min(CASE WHEN 4 * up_to >= total THEN bucket END) / 1048576::DOUBLE AS low,
+    min(CASE WHEN 4 * up_to >= 3 * total THEN bucket END) / 1048576::DOUBLE AS high FROM u GROUP BY own, lang, source, k),
+l AS (SELECT *, high + 3::DOUBLE * greatest(high - low, ([0.02, 0.1, 0.15, 1.0]::DOUBLE[])[k + 1]) AS upper FROM q),
+b AS (SELECT a.lang, a.source, a.k, (a.n * a.upper + 20::DOUBLE * o.upper) / (a.n + 20) AS upper
+  FROM l a JOIN l o ON a.own AND NOT o.own AND a.k = o.k AND a.lang IS NOT DISTINCT FROM o.lang),
+o AS (SELECT DISTINCT rk FROM x JOIN b ON x.k = b.k AND x.lang IS NOT DISTINCT FROM b.lang AND x.source IS NOT DISTINCT FROM b.source WHERE x.ratio > b.upper),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.rk IS NULL AS kept
+FROM f LEFT JOIN o ON o.rk = f.rk
+"""
+
 OP11_SQL = """
 WITH d AS (SELECT coalesce(lang, 'und') AS lang,
     string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
@@ -206,4 +242,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
   sha256(text) AS restored_sha256 FROM p
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_substrings": OP6_SQL, "op7_mix": OP7_SQL, "op8_vectors": OP8_SQL, "op11_collocations": OP11_SQL, "op13_infill": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_warc": OP5_SQL, "op6_substrings": OP6_SQL, "op7_mix": OP7_SQL, "op8_vectors": OP8_SQL, "op10_rules": OP10_SQL, "op11_collocations": OP11_SQL, "op13_infill": OP13_SQL}

@@ -1,7 +1,9 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each document gets counts (words, their characters, symbols, repeated lines, words in repeated windows) and ratios of
-them. KLL sketches per language and source give the quartiles of each ratio, and merged those per language. A group's
+them. Sketches per language and source give the quartiles of each ratio, and merged those per language: counts of buckets
+whose width grows with the value, so a quartile is at most 0.2 % low, merging adds counts up and no run, partitioning or order
+of merging changes a threshold. A group's
 threshold is the mean of its own and its language's, weighted by its documents against a fixed number, so that small groups
 lean on their language and no size is a switch. A ratio fails where it lies far above its group's upper quartile.
 """
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgraph.llm.common import BLANKS, stored, words_of
@@ -28,6 +30,9 @@ FENCE = 3.0
 #: Documents that a language's threshold counts as, against those of a language and source.
 PRIOR_DOCS = 20
 
+#: Bits after the point, and leading bits, that a sketch's buckets keep of a value.
+FRACTION, LEADING = 20, 10
+
 #: Rows of the threshold table up to which it is broadcast; beyond, the join is by shuffle. A row has about 100 bytes.
 BROADCAST_ROWS = 20_000
 
@@ -92,16 +97,39 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     )
 
 
+def bucket(ratio: Column) -> Column:
+    """The bucket of a ratio: its 2^20th part's whole number, with all but the ten leading bits zero (at most 0.2 % below it)."""
+    part = F.floor(ratio * float(1 << FRACTION)).cast("long")
+    return let(part, lambda x: x - x % F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.length(F.bin(x)) - LEADING, F.lit(0))))
+
+
+def limits(counts: DataFrame, by: list[str], fence: float) -> DataFrame:
+    """From rows (by, ratio, bucket, n) to by, n (their number) and per ratio its upper threshold, named as the ratio.
+
+    A quartile is the smallest bucket with at least that share of the rows in it and below. A group has at most a few
+    thousand buckets, whatever its rows.
+    """
+    group = Window.partitionBy(*by, "ratio")
+    up_to = F.sum("n").over(group.orderBy("bucket"))
+    counts = counts.select(*by, "ratio", "bucket", "n", up_to.alias("up_to"), F.sum("n").over(group).alias("rows"))
+    quarter = lambda k: F.min(F.when(4 * F.col("up_to") >= k * F.col("rows"), F.col("bucket"))) / float(1 << FRACTION)
+    found = counts.groupBy(*by, "ratio").agg(F.max("rows").alias("n"), quarter(1).alias("low"), quarter(3).alias("high"))
+    least = F.element_at(F.array(*[F.lit(spread) for spread in RATIOS.values()]), F.col("ratio") + 1)
+    found = found.select(*by, "ratio", "n", (F.col("high") + F.lit(fence) * F.greatest(F.col("high") - F.col("low"), least)).alias("limit"))
+    each = [F.max(F.when(F.col("ratio") == k, F.col("limit"))).alias(r) for k, r in enumerate(RATIOS)]
+    return found.groupBy(*by).agg(F.max("n").alias("n"), *each)
+
+
 def thresholds(found: DataFrame, fence: float = FENCE, prior_docs: int = PRIOR_DOCS) -> DataFrame:
-    """The upper thresholds of each ratio per lang and source, from quantile sketches."""
-    own = found.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(r).alias(r) for r in RATIOS])
+    """The upper thresholds of each ratio per lang and source, from quantile sketches: the same however rows are dealt."""
+    each = F.posexplode(F.array(*[bucket(F.col(r)) for r in RATIOS])).alias("ratio", "bucket")
+    own = found.select("lang", "source", each).groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
     own = stored(own, "sketches", even=True)
-    whole = own.groupBy("lang").agg(*[F.kll_merge_agg_double(r).alias(r) for r in RATIOS])
-    quarter = lambda r, q: F.kll_sketch_get_quantile_double(r, F.lit(q))
-    limit = lambda r, spread: quarter(r, 0.75) + F.lit(fence) * F.greatest(quarter(r, 0.75) - quarter(r, 0.25), F.lit(spread))
-    both = own.alias("a").join(whole.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")))
-    mean = lambda r, spread: (F.col("n") * limit(F.col(f"a.{r}"), spread) + prior_docs * limit(F.col(f"b.{r}"), spread)) / (F.col("n") + prior_docs)
-    return both.select("a.lang", "a.source", *[mean(r, spread).alias(r) for r, spread in RATIOS.items()])
+    whole = own.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    a, b = limits(own, ["lang", "source"], fence).alias("a"), limits(whole, ["lang"], fence).alias("b")
+    both = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")))
+    mean = lambda r: (F.col("a.n") * F.col(f"a.{r}") + prior_docs * F.col(f"b.{r}")) / (F.col("a.n") + prior_docs)
+    return both.select("a.lang", "a.source", *[mean(r).alias(r) for r in RATIOS])
 
 
 def judge(docs: DataFrame, carry: list[str] | None = None, fence: float = FENCE, prior_docs: int = PRIOR_DOCS) -> DataFrame:
@@ -109,13 +137,13 @@ def judge(docs: DataFrame, carry: list[str] | None = None, fence: float = FENCE,
 
     Returns row (a struct of `carry`), the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, then
     base_failed and kept. Null and empty texts have no words and fail. A null lang or source is a group of its own.
-    Repeated rows are judged each; an empty table gives no rows; column names in docs can't clash with those made here.
+    Repeated rows are judged each, very long texts whole, and runs agree, whatever the partitions; an empty table gives no rows; column names in docs can't clash with those made here.
     """
     found = stored(measured(docs, carry or docs.columns), "measured")
-    limits = stored(thresholds(found, fence, prior_docs), "thresholds", even=True)
-    if limits.count() <= BROADCAST_ROWS:
-        limits = F.broadcast(limits)
-    a, b = found.alias("a"), limits.alias("b")
+    upper = stored(thresholds(found, fence, prior_docs), "thresholds", even=True)
+    if upper.count() <= BROADCAST_ROWS:
+        upper = F.broadcast(upper)
+    a, b = found.alias("a"), upper.alias("b")
     both = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     above = [F.col(f"a.{r}") > F.col(f"b.{r}") for r in RATIOS]
