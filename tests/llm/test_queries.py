@@ -84,8 +84,9 @@ def test_substrings_by_sql_on_odd_texts(spark, odd, tmp_path):
 
 def test_rules_by_sql_on_odd_texts(spark, odd, tmp_path):
     """Windows that overlap themselves, groups of one document, lines that are blank, tails above a threshold."""
-    plain = [f"some words of {k} that differ from {k * 7} and others {k * 11} on\n line {k}" + " again and again" * (k % 5) for k in range(60)]
-    texts = [*plain, "a b c d e f g h " * 5, "x " * 40, "same line here\n\n \n" * 9, plain[0] + " #*$%&|<>" * 9, "w" * 5000 + " b" * 30]
+    plain = [f"some words of {k} that differ from {k * 7} and others {k * 11} on\n line {k}, which goes on for a while about {k * 13} and so" + " again and again" * (k % 5) for k in range(60)]
+    signs, long, lines = (" ".join(f"{x}{k}" for k in range(30)) for x in ("#*$%&|<>", "w" * 50, "end\n\n \nu"))
+    texts = [*plain, "a b c d e f g h " * 5, "x " * 40, plain[0] + signs, long, lines.replace(" u", "\nu").replace(" end", "\nend")]
     more = spark.createDataFrame([(100 + i, t, "en", "ab"[i % 2]) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING, lang STRING, source STRING")
     sf_dir = written(odd.select(more.columns).union(more), tmp_path, "documents")
     out = QUERIES["op10_rules"](spark, sf_dir)
