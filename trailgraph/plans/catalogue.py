@@ -19,7 +19,7 @@ from trailgraph.plans.durable import running, shared_dir, stored, stored_once
 from trailgraph.plans.index import indexed
 from trailgraph.sources import graphs, sinks
 from trailgraph.sources.graphs import Graph
-from trailgraph.streaming import channels
+from trailgraph.streaming import channels, estimates
 
 CUST = """SELECT DISTINCT src, dst FROM (
   SELECT o_custkey AS src, lead(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey) AS dst, o_orderpriority AS p FROM orders) t
@@ -281,6 +281,18 @@ def batch_running_avg(spark, sf_dir):
     return out.select("batch", *[F.round(F.nanvl(c, F.lit(0.0)), 8).alias(c) for c in ("average", "spread", "diameter", "diameter_spread")])
 
 
+@query(head("users") + BATCHED + """, a AS (SELECT batch, row_number() OVER w AS n, avg(norm) OVER w AS average, stddev_samp(norm) OVER w AS spread, avg(diameter) OVER w AS diameter
+  FROM (SELECT batch, diameter, CAST(total AS DOUBLE) / pairs AS norm FROM s) t WINDOW w AS (ORDER BY batch ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, coalesce(1.96::DOUBLE * spread / sqrt(n), 0) AS half_width, n >= 3 AND 1.96::DOUBLE * spread / sqrt(n) < 0.25 AS precise FROM a)
+SELECT batch, n, round(average, 8) AS average, round(coalesce(spread, 0), 8) AS spread, round(diameter, 8) AS diameter, round(half_width, 8) AS half_width, precise
+FROM h WHERE batch <= coalesce((SELECT min(batch) FROM h WHERE precise), 1000)""")
+def batch_stream_until_precise(spark, sf_dir):
+    """Batches as a stream with state, traversed until the average is known to a quarter of a hop."""
+    g = load(spark, sf_dir, "users")
+    out = estimates.until_precise(g, sampling.uniform(g, 400), 40, 0.25, f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
+    return out.select("batch", "n", *[F.round(F.nanvl(c, F.lit(0.0)), 8).alias(c) for c in ("average", "spread", "diameter", "half_width")], "precise")
+
+
 WEIGHTS = f""", t AS (SELECT i, {sampling.draw_sql('i', sampling.SECOND, 42)} % n AS v FROM n, range(100) t(i)),
 b AS (SELECT src AS node, dst AS v FROM r UNION ALL SELECT id, id FROM v),
 w AS (SELECT v.id AS node, count(b.v) AS weight FROM v LEFT JOIN (SELECT b.* FROM t JOIN b ON t.v = b.v) b ON v.id = b.node GROUP BY v.id),
