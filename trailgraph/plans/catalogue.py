@@ -283,13 +283,13 @@ def batch_running_avg(spark, sf_dir):
 
 @query(head("users") + BATCHED + """, a AS (SELECT batch, row_number() OVER w AS n, avg(norm) OVER w AS average, stddev_samp(norm) OVER w AS spread, avg(diameter) OVER w AS diameter
   FROM (SELECT batch, diameter, CAST(total AS DOUBLE) / pairs AS norm FROM s) t WINDOW w AS (ORDER BY batch ROWS UNBOUNDED PRECEDING)),
-h AS (SELECT *, coalesce(1.96::DOUBLE * spread / sqrt(n), 0) AS half_width, n >= 3 AND 1.96::DOUBLE * spread / sqrt(n) < 0.25 AS precise FROM a)
+h AS (SELECT *, coalesce(1.96::DOUBLE * spread / sqrt(n), 0) AS half_width, n >= 3 AND 1.96::DOUBLE * spread / sqrt(n) < 0.05 AS precise FROM a)
 SELECT batch, n, round(average, 8) AS average, round(coalesce(spread, 0), 8) AS spread, round(diameter, 8) AS diameter, round(half_width, 8) AS half_width, precise
 FROM h WHERE batch <= coalesce((SELECT min(batch) FROM h WHERE precise), 1000)""")
 def batch_stream_until_precise(spark, sf_dir):
-    """Batches as a stream with state, traversed until the average is known to a quarter of a hop."""
+    """Batches as a stream with state, traversed until the average is known to a twentieth of a hop."""
     g = load(spark, sf_dir, "users")
-    out = estimates.until_precise(g, sampling.uniform(g, 400), 40, 0.25, f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
+    out = estimates.until_precise(g, sampling.uniform(g, 400), 40, 0.05, f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
     return out.select("batch", "n", *[F.round(F.nanvl(c, F.lit(0.0)), 8).alias(c) for c in ("average", "spread", "diameter", "half_width")], "precise")
 
 
