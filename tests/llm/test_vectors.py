@@ -64,3 +64,18 @@ def test_the_smallest_and_largest_numbers(spark):
     check(spark, rows, "DOUBLE", block=2)
     links = {r["vec_id"]: r["n_links"] for r in vectors.near(spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")).collect()}
     assert links == {1: 2, 2: 2, 3: 3, 4: 3, 5: 3, 6: 3, 7: 2, 8: 0}
+
+
+def test_rows_of_one_id_are_nodes_by_their_own_vectors(spark):
+    """Held against the links and components of rows, counted plainly: an id's vectors, near and far, don't join each other."""
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 16))
+    rows = [(1, a), (5, a + 0.01), (5, b), (7, b + 0.01), (7, a), (9, -a), (9, -a)]
+    x = np.array([v / np.linalg.norm(v) for _, v in rows])
+    close = x @ x.T >= 0.95
+    reach = np.linalg.matrix_power(close.astype(int), len(rows)) > 0
+    ids = np.array([i for i, _ in rows])
+    want = sorted((int(i), int(close[k].sum()) - 1, int(ids[reach[k]].min())) for k, i in enumerate(ids))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near(df).collect())
+    assert got == want and (5, 1, 5) in want and (5, 2, 1) in want
