@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.brute import distances
-from trailgraph.operators import centrality, traverse
+from trailgraph.operators import arrays, centrality, chains, sketches, traverse
 
-#: Two paths into a hub of 40 arcs in and 40 out, a tail of 30 levels behind it, a loop and a vertex alone.
-ARCS = [(i, 50) for i in range(40)] + [(50, 60 + i) for i in range(40)] + [(i, i + 1) for i in range(99, 129)] + [(0, 1), (1, 2), (45, 0), (7, 7)]
-N = 132
+#: Two paths into a hub of 40 arcs in and 40 out, a tail of 6 levels beside it, a loop and a vertex alone.
+ARCS = [(i, 50) for i in range(40)] + [(50, 60 + i) for i in range(40)] + [(i, i + 1) for i in range(99, 105)] + [(0, 1), (1, 2), (45, 0), (7, 7)]
+N = 108
 
 
 @pytest.fixture
@@ -19,7 +19,7 @@ def small_batches(monkeypatch):
 
 def test_sums_are_a_row_per_task_and_vertex(spark, graph, small_batches):
     g, far = graph(ARCS, N), distances(ARCS, range(N))
-    parts = traverse._node_parts(traverse._arcs(g, "bits"), traverse.all_sources(g))
+    parts = traverse._node_parts(traverse.arcs_to_send(g, "bits"), traverse.all_sources(g))
     rows, tasks, nodes = parts.agg(F.count("*"), F.lit(spark.sparkContext.defaultParallelism), F.count_distinct("node")).first()
     assert nodes <= rows <= tasks * nodes < g.edges.count() * 30
     want = {v: [d for (_, u), d in far.items() if u == v] for v in range(N)}
@@ -43,7 +43,7 @@ def test_measures_of_sums_are_those_of_levels(graph, small_batches):
 def test_listed_pairs_are_bounded(monkeypatch):
     monkeypatch.setattr(traverse, "PAIRS_AT_ONCE", 500)
     tail, head = (np.array(c) for c in zip(*[(i, j) for i in range(60) for j in range(60, 160)], strict=True))
-    g, own = traverse.Arrays(np.arange(160), tail, head), np.arange(60)
+    g, own = arrays.Arrays(np.arange(160), tail, head), np.arange(60)
     frames = [f for d, nodes, bits in g.levels(own) if d for f in traverse.listed(g, own, d, nodes, bits)]
     assert max(len(f["src"]) for f in frames) <= 500
     assert {(s, v) for f in frames for s, v in zip(f["src"], f["node"], strict=True)} == set(zip(tail, head, strict=True))
@@ -51,7 +51,24 @@ def test_listed_pairs_are_bounded(monkeypatch):
 
 def test_only_arcs_of_new_vertices_are_followed():
     n = 3000
-    g, followed = traverse.Arrays(np.arange(n), np.arange(n - 1), np.arange(1, n)), []
+    g, followed = arrays.Arrays(np.arange(n), np.arange(n - 1), np.arange(1, n)), []
     own = g.followed
     g.followed = lambda nodes: followed.append(len(own(nodes))) or own(nodes)
     assert sum(1 for _ in g.levels(np.array([0]))) == n and sum(followed) == n - 1
+
+
+def test_sketches_by_arrays_are_those_by_joins(graph):
+    g = graph(ARCS, N)
+    by = {s: {(r["node"], r["d"]): r["within"] for r in sketches.level_counts(g, strategy=s).collect()} for s in ("bits", "frontier")}
+    assert by["bits"] == by["frontier"] and len(by["bits"]) > N
+    parts = sketches._by_arrays(traverse.arcs_to_send(g, "bits"), g, sketches.PRECISION)
+    assert parts.agg(F.sum("used")).first()[0] <= sum(1 for _ in distances(ARCS, range(N))) + N
+
+
+def test_core_from_few_sources_takes_no_round_a_level(spark, graph, monkeypatch):
+    """Ladders of two lengths: the core has a level a step, which by joins are as many jobs."""
+    arcs = [x for i in range(0, 120, 4) for x in ((i, i + 1), (i + 1, i + 4), (i, i + 2), (i + 2, i + 3), (i + 3, i + 4))] + [(0, 60), (130, 130)]
+    g, some = graph(arcs, 132), spark.createDataFrame([(0,), (8,), (50,), (130,), (131,)], "src LONG")
+    monkeypatch.setattr(chains, "fixpoint", None)
+    got = {(r["src"], r["node"]): r["d"] for r in traverse.hop_distances(g, some, strategy="chains").collect()}
+    assert got == distances(arcs, [0, 8, 50, 130, 131])
