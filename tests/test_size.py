@@ -1,5 +1,8 @@
 """What a task sends and holds, which has to follow from the graph and not from the number of its pairs or levels."""
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +75,21 @@ def test_core_from_few_sources_takes_no_round_a_level(spark, graph, monkeypatch)
     monkeypatch.setattr(chains, "fixpoint", None)
     got = {(r["src"], r["node"]): r["d"] for r in traverse.hop_distances(g, some, strategy="chains").collect()}
     assert got == distances(arcs, [0, 8, 50, 130, 131])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_joins_over_long_chains_take_the_core_s_rounds(graph, monkeypatch, seed):
+    """Chains between few vertices, a ring, chains from a vertex back to itself, chains that end; no level a round."""
+    rng, arcs, new = random.Random(seed), [(20, 20)], 21
+    for a, b, m in [(rng.randrange(6), rng.randrange(6), rng.randrange(9)) for _ in range(9)] + [(3, 3, 4), (7, None, 6), (None, 8, 5)]:
+        path = [a, *range(new, new + m), b]
+        new += m
+        arcs += [(x, y) for x, y in zip(path, path[1:], strict=False) if x is not None and y is not None]
+    arcs += [(new + i, new + (i + 1) % 7) for i in range(7)]
+    n = new + 7
+    g, far = graph(arcs, n), distances(arcs, range(n))
+    monkeypatch.setattr(traverse, "_frontier", None)
+    assert {(r["src"], r["node"]): r["d"] for r in traverse.hop_distances(g, strategy="frontier").collect()} == far
+    levels = Counter((v, d) for (_, v), d in far.items())
+    assert {(r["node"], r["d"]): r["n"] for r in traverse.node_levels(g, strategy="frontier").collect()} == levels
+    assert sum(r["dist_sum"] for r in traverse.bfs_summary(g, strategy="frontier").collect()) == sum(far.values())
