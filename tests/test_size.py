@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.brute import distances
 from trailgraph.operators import arrays, centrality, chains, sketches, traverse
+from trailgraph.plans import index
 
 #: Two paths into a hub of 40 arcs in and 40 out, a tail of 6 levels beside it, a loop and a vertex alone.
 ARCS = [(i, 50) for i in range(40)] + [(50, 60 + i) for i in range(40)] + [(i, i + 1) for i in range(99, 105)] + [(0, 1), (1, 2), (45, 0), (7, 7)]
@@ -93,3 +94,20 @@ def test_joins_over_long_chains_take_the_core_s_rounds(graph, monkeypatch, seed)
     levels = Counter((v, d) for (_, v), d in far.items())
     assert {(r["node"], r["d"]): r["n"] for r in traverse.node_levels(g, strategy="frontier").collect()} == levels
     assert sum(r["dist_sum"] for r in traverse.bfs_summary(g, strategy="frontier").collect()) == sum(far.values())
+
+
+def test_large_tables_are_not_sent_whole(spark, graph, monkeypatch):
+    """Of large tables none is broadcast in a round of joins nor in a contraction, however few bytes they take."""
+    arcs = [(i, i + 1) for i in range(40)] + [(5, 30), (40, 0), (41, 42), (42, 20)]
+    g, far = graph(arcs, 43), distances(arcs, range(43))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for bound, sent in ((100, True), (10, False)):
+        monkeypatch.setattr(index, "BROADCAST_ROWS", bound)
+        monkeypatch.setattr(chains, "BROADCAST_ROWS", bound)
+        arcs_of = index.indexed(g.edges)
+        now = index.bucketed(spark.range(43).select(F.col("id").alias("node"), F.col("id").alias("key")), ["node", "key"], "round")
+        assert ("Broadcast" in plan(arcs_of.ahead(now.rows))) == sent
+        arcs_of.discard()
+        out = chains.summary(g)
+        assert ("Broadcast" in plan(out)) == sent
+        assert {r["src"]: (r["dist_sum"], r["reach"]) for r in out.collect()} == {v: (sum(d for (s, _), d in far.items() if s == v), sum(s == v for s, _ in far)) for v in range(43)}
