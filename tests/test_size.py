@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.brute import distances
-from trailgraph.operators import arrays, centrality, chains, sketches, traverse
+from trailgraph.operators import arrays, centrality, chains, components, sketches, traverse
 from trailgraph.plans import index
 
 #: Two paths into a hub of 40 arcs in and 40 out, a tail of 6 levels beside it, a loop and a vertex alone.
@@ -111,3 +111,31 @@ def test_large_tables_are_not_sent_whole(spark, graph, monkeypatch):
         out = chains.summary(g)
         assert ("Broadcast" in plan(out)) == sent
         assert {r["src"]: (r["dist_sum"], r["reach"]) for r in out.collect()} == {v: (sum(d for (s, _), d in far.items() if s == v), sum(s == v for s, _ in far)) for v in range(43)}
+
+
+def strong(far, n):
+    return {v: min([v] + [u for u in range(n) if (u, v) in far and (v, u) in far]) for v in range(n)}
+
+
+@pytest.mark.parametrize("orders", [16, 1])
+def test_components_of_a_core_take_no_round_a_level(graph, monkeypatch, orders):
+    """A ladder, which by joins is a job a level, into a ring with shortcuts, into another ladder."""
+    def ladder(at):
+        return [x for i in range(at, at + 60, 3) for x in ((i, i + 1), (i, i + 2), (i + 1, i + 3), (i + 2, i + 3))]
+
+    arcs = ladder(0) + [(i, i + 1) for i in range(60, 80)] + [(80, 60), (70, 65), (75, 62)] + [(80, 81)] + ladder(81)
+    names = list(range(150))
+    random.Random(orders).shuffle(names)
+    arcs = [(names[a], names[b]) for a, b in arcs]
+    monkeypatch.setattr(components, "ORDERS", orders)
+    monkeypatch.setattr(components, "fixpoint", None)
+    got = {r["node"]: r["component"] for r in components.strong_components(graph(arcs, 150)).collect()}
+    assert got == strong(distances(arcs, range(150)), 150)
+
+
+def test_components_beyond_the_bound_are_those_by_arrays(graph, monkeypatch):
+    rng = random.Random(3)
+    arcs = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)]
+    monkeypatch.setattr(components, "BROADCAST_ARCS", 10)
+    got = {r["node"]: r["component"] for r in components.strong_components(graph(arcs, 40)).collect()}
+    assert got == strong(distances(arcs, range(40)), 40)

@@ -3,22 +3,97 @@
 Every vertex learns the smallest vertex that reaches it and the smallest that it reaches. Where both are the same, that one names
 its component. Arcs between vertices whose pairs differ lie in no component and go, and what is left is asked again: as in a
 quicksort, few times. Chains are contracted before, so long ones cost the logarithm of their length.
+
+A core that can be broadcast is asked by every task in several random orders of its vertices at once, over arrays, so a level is
+no round of jobs and hardly an arc between components is left to be asked again. Beyond the bound, by joins, until it is below.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailgraph.operators.arrays import BROADCAST_ARCS, Arrays, combined
 from trailgraph.operators.chains import contracted
 from trailgraph.operators.fixpoint import SMALLEST, fixpoint
 from trailgraph.operators.traverse import hop_distances
-from trailgraph.plans.durable import stored
+from trailgraph.plans.durable import ship, stored
 from trailgraph.plans.index import indexed
 from trailgraph.sources.graphs import Graph
 
+#: Random orders that a task asks at once at most, and bytes that their labels may take.
+ORDERS = 16
+LABEL_BYTES = 256 << 20
+
+
+def smallest(g: Arrays, labels: np.ndarray) -> np.ndarray:
+    """The smallest of the labels (a row per vertex, a column per order) of the vertices that reach each vertex, its own included."""
+    labels, nodes = labels.copy(), np.arange(len(g.ids))
+    while len(nodes):
+        arcs = g.followed(nodes)
+        if not len(arcs):
+            break
+        nodes, new = combined(g.head[arcs], g.tail[arcs], labels, np.minimum)
+        before = labels[nodes]
+        less = np.flatnonzero((new < before).any(axis=1))
+        nodes = nodes[less]
+        labels[nodes] = np.minimum(new[less], before[less])
+    return labels
+
+
+def _by_arrays(arcs: DataFrame, seed: int) -> DataFrame:
+    """node, component, pattern of the vertices of arcs (src, dst), which are broadcast: of each task a row per vertex.
+
+    component is a vertex of the strong component, the same for all in it, or null where no order of the task tells it; the pattern
+    is a digest of all labels. What is found doesn't depend on the orders, only how much of it.
+    """
+    spark = arcs.sparkSession
+    ship(spark)
+    found = arcs.select("src", "dst").toArrow()
+    tails, heads = (found.column(c).to_numpy() for c in ("src", "dst"))
+    shared = spark.sparkContext.broadcast(Arrays(np.unique(np.concatenate([tails, heads])), tails, heads))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared.value
+        n = len(g.ids)
+        back, every = Arrays(np.arange(n), g.head, g.tail), max(1, min(ORDERS, LABEL_BYTES // (32 * n)))
+        for task in (k for batch in batches for k in batch.column("id").to_pylist()):
+            rng = np.random.default_rng((seed, task))
+            orders = [rng.permutation(n) for _ in range(every)]
+            labels = np.empty((n, every), np.int32)
+            for k, order in enumerate(orders):
+                labels[order, k] = np.arange(n)
+            before, after = smallest(g, labels), smallest(back, labels)
+            component, pattern = np.full(n, n), np.zeros(n, np.int64)
+            for k, order in enumerate(orders):
+                same = before[:, k] == after[:, k]
+                component[same] = np.minimum(component[same], order[before[same, k]])
+                for side in (before, after):
+                    pattern += (side[:, k].astype(np.int64) + 1) * rng.integers(1 << 62)
+            for at in range(0, n, 65536):
+                own = component[at : at + 65536]
+                names = pa.array(g.ids[np.minimum(own, n - 1)], mask=own == n)
+                yield pa.RecordBatch.from_pydict({"node": g.ids[at : at + 65536], "component": names, "pattern": pattern[at : at + 65536]})
+
+    tasks = spark.sparkContext.defaultParallelism
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, "node long, component long, pattern long")
+
+
+def _labelled(arcs: DataFrame, seed: int) -> DataFrame:
+    """node, component, pattern: a vertex that names the strong component, null where it isn't found yet. Vertices of one component have the same pattern."""
+    if arcs.count() <= BROADCAST_ARCS:
+        return stored(_by_arrays(arcs, seed).groupBy("node").agg(F.min("component").alias("component"), F.bit_xor("pattern").alias("pattern")), "labels")
+    nodes = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    before = _smallest(arcs, nodes, "before")
+    after = _smallest(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes, "after")
+    return stored(before.join(after, "node").select("node", F.expr("CASE WHEN before = after THEN before END AS component"), F.xxhash64("before", "after").alias("pattern")), "labels")
+
+
 def _smallest(arcs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """node, name: the smallest vertex that reaches each of nodes along arcs (src, dst), itself included."""
     index = indexed(arcs)
@@ -33,13 +108,10 @@ def strong_components(graph: Graph) -> DataFrame:
     c = contracted(graph)
     arcs, found = c.arcs.select("src", "dst"), []
     while not arcs.isEmpty():
-        nodes = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        before = _smallest(arcs, nodes, "before")
-        after = _smallest(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), nodes, "after")
-        labels = stored(before.join(after, "node"), "labels")
-        found.append(labels.where("before = after").select("node", F.col("before").alias("component")))
-        open_ = labels.where("before <> after")
-        a, b = (open_.select(F.col("node").alias(side), F.struct("before", "after").alias(f"of_{side}")) for side in ("src", "dst"))
+        labels = _labelled(arcs, len(found))
+        found.append(labels.where("component IS NOT NULL").select("node", "component"))
+        open_ = labels.where("component IS NULL")
+        a, b = (open_.select(F.col("node").alias(side), F.col("pattern").alias(f"of_{side}")) for side in ("src", "dst"))
         arcs = stored(arcs.join(a, "src").join(b, "dst").where("of_src = of_dst").select("src", "dst"), "arcs")
     core = c.core.withColumnRenamed("id", "node")
     core = core.join(reduce(DataFrame.union, found), "node", "left") if found else core.withColumn("component", F.lit(None).cast("long"))
