@@ -139,3 +139,19 @@ def test_components_beyond_the_bound_are_those_by_arrays(graph, monkeypatch):
     monkeypatch.setattr(components, "BROADCAST_ARCS", 10)
     got = {r["node"]: r["component"] for r in components.strong_components(graph(arcs, 40)).collect()}
     assert got == strong(distances(arcs, range(40)), 40)
+
+
+def test_reach_by_components_makes_no_pairs(graph, monkeypatch):
+    """Chains into a ring, through parallel chains and out by others; sizes of several digits; blocks of a chain."""
+    arcs, new = [(i, (i + 1) % 9) for i in range(9)] + [(20, 21), (21, 22), (22, 20), (8, 20)], 30
+    for a, b, m in [(None, 3, 5), (None, 3, 2), (0, 20, 4), (0, 20, 3), (21, None, 6), (5, None, 1), (21, 10, 2), (5, 10, 0), (10, 11, 7)]:
+        path = [a, *range(new, new + m), b]
+        new += m
+        arcs += [(x, y) for x, y in zip(path, path[1:], strict=False) if x is not None and y is not None]
+    far = distances(arcs, range(new))
+    monkeypatch.setattr(components, "hop_distances", None)
+    monkeypatch.setattr(components, "BLOCK", 2)
+    for direction, side in (("in", 1), ("out", 0)):
+        reach = Counter(k[side] for k in far)
+        got = components.reach_by_components(graph(arcs, new), direction).collect()
+        assert {r["node"]: r["reach"] for r in got} == reach and len(got) == len(reach)

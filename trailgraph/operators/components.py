@@ -15,13 +15,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgraph.operators.arrays import BROADCAST_ARCS, Arrays, combined
-from trailgraph.operators.chains import contracted
+from trailgraph.operators.chains import BLOCK, contracted
 from trailgraph.operators.fixpoint import SMALLEST, fixpoint
-from trailgraph.operators.traverse import hop_distances
+from trailgraph.operators.traverse import _over_sources, arcs_to_send, counted, hop_distances
 from trailgraph.plans.durable import ship, stored
 from trailgraph.plans.index import indexed
 from trailgraph.sources.graphs import Graph
@@ -133,17 +133,73 @@ def condensed(graph: Graph, components: DataFrame) -> tuple[Graph, DataFrame]:
     return Graph.of(stored(arcs.distinct(), "arcs"), sizes.select(F.col("component").alias("id"))), sizes
 
 
+def _weighed(core: Graph, weights: DataFrame, strategy: str) -> DataFrame:
+    """node, others: the sum of the weights (id, weight) of the other vertices that reach a vertex, where there are any.
+
+    Over a graph that can be broadcast a task sends a row per vertex, and no pairs are made: the sources' bits are counted once
+    for each binary digit of the weights. Else by pairs.
+    """
+    arcs = arcs_to_send(core, strategy) if strategy in ("auto", "bits") else None
+    if arcs is None:
+        pairs = hop_distances(core, strategy=strategy).join(weights.withColumnRenamed("id", "src"), "src")
+        return pairs.groupBy("node").agg(F.sum("weight").alias("others"))
+    sources = weights.join(core.edges.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    table = sources.toArrow().sort_by("id")
+    shared = core.spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("id", "weight")))
+
+    def by_node(g: Arrays, batches: Iterator) -> Iterator[dict[str, np.ndarray]]:
+        (ids, weight), total = shared.value, np.zeros(len(g.ids), np.int64)
+        for own, levels in batches:
+            w = np.zeros(-(-len(own) // 64) * 64, np.int64)
+            w[: len(own)] = weight[np.searchsorted(ids, own)]
+            digits = [(k, np.packbits(w >> k & 1, bitorder="little").view(np.uint64)) for k in range(int(w.max()).bit_length())]
+            digits = [(k, mask) for k, mask in digits if mask.any()]
+            for d, nodes, bits in levels:
+                if d:
+                    for k, mask in digits:
+                        total[nodes] += counted(bits & mask) << k
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 65536):
+            yield {"node": g.ids[some[at : at + 65536]], "others": total[some[at : at + 65536]]}
+
+    parts = _over_sources(arcs, sources.select(F.col("id").alias("src")), by_node, "node long, others long", None)
+    return parts.groupBy("node").agg(F.sum("others").alias("others"))
+
+
+def _others(graph: Graph, sizes: DataFrame, strategy: str) -> DataFrame:
+    """component, others: the summed sizes (component, size) of the other vertices that reach each vertex of a graph without rings.
+
+    Chains are contracted. All of a chain reaches its head, so it weighs there; its own vertices are reached by what reaches its
+    tail, the tail, and those before them in the chain.
+    """
+    c, none = contracted(graph), F.lit(0).cast("long")
+    size = sizes.withColumnRenamed("component", "node")
+    placed = stored(c.places.join(size, "node").withColumn("block", F.floor((F.col("at") - 1) / BLOCK)), "placed")
+    earlier = Window.partitionBy("chain").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    blocks = placed.groupBy("chain", "block").agg(F.sum("size").alias("total"))
+    blocks = stored(blocks.withColumn("earlier", F.coalesce(F.sum("total").over(earlier), none)), "blocks")
+    inside = Window.partitionBy("chain", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.join(blocks, ["chain", "block"]).select("node", "chain", (F.col("earlier") + F.coalesce(F.sum("size").over(inside), none)).alias("ahead"))
+    whole = c.chains.join(blocks.groupBy("chain").agg(F.sum("total").alias("total")), "chain").groupBy(F.col("head").alias("node")).agg(F.sum("total").alias("led"))
+    core = c.core.withColumnRenamed("id", "node").join(size, "node").join(whole, "node", "left").select("node", "size", F.coalesce("led", none).alias("led"))
+    core = stored(core, "weights")
+    sums = _weighed(Graph(c.core, c.arcs.select("src", "dst")), core.select(F.col("node").alias("id"), (F.col("size") + F.col("led")).alias("weight")), strategy)
+    core = stored(core.join(sums, "node", "left").select("node", "size", (F.col("led") + F.coalesce("others", none)).alias("others")), "others")
+    tails = c.chains.join(core.withColumnRenamed("node", "tail"), "tail").select("chain", (F.col("others") + F.col("size")).alias("others"))
+    members = placed.join(tails, "chain").select("node", (F.col("others") + F.col("ahead")).alias("others"))
+    return core.select("node", "others").union(members).withColumnRenamed("node", "component")
+
+
 def reach_by_components(graph: Graph, direction: str = "in", strategy: str = "auto") -> DataFrame:
     """node, reach: how many others reach a vertex (`in`) or are reached by it (`out`), by the components that do, with their sizes.
 
-    Vertices with a reach of 0 are absent, as in centrality.reach. Only components are traversed: one giant one is one vertex.
+    Vertices with a reach of 0 are absent, as in centrality.reach. Only components are traversed: one giant one is one vertex, and
+    chains of them are contracted.
     """
     if direction not in ("out", "in"):
         raise ValueError(f"unknown direction {direction}")
     components = stored(strong_components(graph), "components")
     small, sizes = condensed(graph, components)
     small = small.transpose() if direction == "out" else small
-    pairs = hop_distances(small, strategy=strategy).join(sizes.withColumnRenamed("component", "src"), "src")
-    others = pairs.groupBy("node").agg(F.sum("size").alias("others")).withColumnRenamed("node", "component")
-    reach = sizes.join(others, "component", "left").select("component", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("reach"))
+    reach = sizes.join(_others(small, sizes, strategy), "component").select("component", (F.col("size") - 1 + F.col("others")).alias("reach"))
     return components.join(reach.where("reach > 0"), "component").select("node", "reach")
